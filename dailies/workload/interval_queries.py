@@ -61,7 +61,7 @@ def complement_ranges(spark, d):
 
 
 @query("range_coverage", f"""WITH {RANGES}, {A_SIDE}, {B_SIDE},
-o AS (SELECT a.clip_id, a.event_id, a.s_us, a.e_us, coalesce(sum(greatest(0, least(a.e_us, b.e_us) - greatest(a.s_us, b.s_us))), 0)::BIGINT AS overlap_us
+o AS (SELECT a.clip_id, a.event_id, a.s_us, a.e_us, sum(CASE WHEN b.clip_id IS NULL THEN 0 ELSE greatest(0, least(a.e_us, b.e_us) - greatest(a.s_us, b.s_us)) END)::BIGINT AS overlap_us
  FROM a LEFT JOIN b ON a.clip_id = b.clip_id AND a.s_us < b.e_us AND b.s_us < a.e_us GROUP BY ALL)
 SELECT *, CASE WHEN e_us <= s_us THEN 1000000 ELSE least((overlap_us * 1000000) // (e_us - s_us), 1000000) END AS covered_ppm FROM o""")
 def range_coverage(spark, d):
@@ -175,8 +175,9 @@ def silence_ranges(spark, d):
     return iv.silence_ranges(events, KEY, "t_us", "kind", "event_id", "duration_us", splits=plan_splits(base, KEY, "s_us"))
 
 
-@query("mutes_by_gain", f"""WITH {RANGES}, m AS (SELECT clip_id, -(event_id % 3) * 6 AS gain_db, s_us, e_us FROM ranges WHERE e_us > s_us)
-SELECT clip_id, gain_db, s_us, e_us, count(*) AS copies, row_number() OVER (PARTITION BY clip_id, gain_db ORDER BY s_us, e_us) AS n FROM m GROUP BY ALL""")
+@query("mutes_by_gain", f"""WITH {RANGES}, m AS (SELECT clip_id, -(event_id % 3) * 6 AS gain_db, s_us, e_us FROM ranges WHERE e_us > s_us),
+g AS (SELECT clip_id, gain_db, s_us, e_us, count(*) AS copies FROM m GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY clip_id, gain_db ORDER BY s_us, e_us) AS n FROM g""")
 def mutes_by_gain(spark, d):
     base = ranges(spark, d).withColumn("gain_db", -(F.col("event_id") % 3) * 6)
     return iv.mutes_by_gain(base, KEY, "gain_db", splits=plan_splits(base, ["clip_id", "gain_db"], "s_us"))
@@ -213,14 +214,14 @@ f AS (SELECT u.project_id, 0::BIGINT AS rn, []::STRUCT(slot BIGINT, clip BIGINT,
   FROM (SELECT DISTINCT user_id AS project_id FROM events) u
  UNION ALL
  SELECT project_id, rn, CASE WHEN outcome = 'added' THEN list_append(live, {'slot': born, 'clip': clip, 's': s_us, 'e': e_us})
-   WHEN outcome = 'deleted' THEN list_concat(live[1:at-1], live[at+1:])
-   WHEN outcome = 'updated' THEN list_concat(live[1:at-1], [{'slot': live[at].slot, 'clip': clip, 's': s_us, 'e': e_us}], live[at+1:])
+   WHEN outcome = 'deleted' THEN list_concat(live[1:(hit-1)], live[(hit+1):])
+   WHEN outcome = 'updated' THEN list_concat(live[1:(hit-1)], [{'slot': live[hit].slot, 'clip': clip, 's': s_us, 'e': e_us}], live[(hit+1):])
    ELSE live END, CASE WHEN outcome = 'added' THEN born + 1 ELSE born END, event_id, outcome,
-   CASE WHEN outcome = 'added' THEN born WHEN outcome IN ('deleted','updated') THEN live[at].slot END
- FROM (SELECT *, CASE WHEN op <> 'delete' AND e_us <= s_us THEN 'bad_range' WHEN op = 'add' THEN 'added' WHEN at IS NULL OR at = 0 THEN 'not_found' WHEN op = 'delete' THEN 'deleted' ELSE 'updated' END AS outcome
+   CASE WHEN outcome = 'added' THEN born WHEN outcome IN ('deleted','updated') THEN live[hit].slot END
+ FROM (SELECT *, CASE WHEN op <> 'delete' AND e_us <= s_us THEN 'bad_range' WHEN op = 'add' THEN 'added' WHEN hit IS NULL OR hit = 0 THEN 'not_found' WHEN op = 'delete' THEN 'deleted' ELSE 'updated' END AS outcome
    FROM (SELECT f.project_id, r.rn, f.live, f.born, r.event_id, r.op, r.clip, r.s_us, r.e_us,
      CASE WHEN r.idx IS NOT NULL AND r.idx < len(f.live) THEN r.idx + 1
-       ELSE list_position(list_transform(f.live, lambda x: x.clip = r.clip AND abs(x.s - r.ms) < 1000 AND abs(x.e - r.me) < 1000), true) END AS at
+       ELSE list_position(list_transform(f.live, lambda x: x.clip = r.clip AND abs(x.s - r.ms) < 1000 AND abs(x.e - r.me) < 1000), true) END AS hit
      FROM f JOIN req r ON r.project_id = f.project_id AND r.rn = f.rn + 1)))
 SELECT project_id, event_id, outcome, slot, len(live) AS live FROM f WHERE rn > 0""")
 def apply_mute_edits(spark, d):
