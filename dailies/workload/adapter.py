@@ -11,7 +11,12 @@ WORD_US, PAUSE_US, SPOKEN_US, PAUSE_EVERY = 400_000, 1_500_000, 300_000, 17
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """Read one table; a scan with fewer parts than cores (one small file) is dealt out once."""
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def word_start(pos: Column) -> Column:
@@ -24,7 +29,7 @@ def transcripts(spark: SparkSession, d: str) -> DataFrame:
     words = F.transform(
         tokens,
         lambda t, i: F.struct(
-            i.alias("pos"), word_start(i).alias("s_us"), (word_start(i) + SPOKEN_US).alias("e_us"), t.alias("text")
+            i.cast("bigint").alias("pos"), word_start(i).alias("s_us"), (word_start(i) + SPOKEN_US).alias("e_us"), t.alias("text")
         ),
     )
     return table(spark, d, "documents").select(
