@@ -97,7 +97,7 @@ def language_mismatch(detected: Column, project: Column, prob: Column, n_words:
 
 
 def slug(text: Column) -> Column:
-    return F.trim(F.lit("-"), F.regexp_replace(ascii_fold(text), "[^0-9a-z]+", "-"))
+    return F.trim(F.regexp_replace(ascii_fold(text), "[^0-9a-z]+", "-"), F.lit("-"))
 
 
 def srt_time(us: Column) -> Column:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "dailies", **conf: str) -> SparkSession:
@@ -34,3 +35,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dailies-ckpt-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a shared folder")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a result that several branches read to the shared checkpoint folder, and read it back.
+
+    Computed once and columnar; a lost executor costs a re-read, not the lineage behind it.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
