@@ -149,7 +149,8 @@ def keep_ranges(
         "__pk": ("lag", F.col("keep")), "__pe": ("lag", F.col("e_us")),
         "__nk": ("lead", F.col("keep")), "__ns": ("lead", F.col("s_us")),
     }
-    lined = running(words, keys, ["pos"], specs, splits).where("keep")
+    mask = words.select(*keys, "pos", "s_us", "e_us", "keep")
+    lined = running(mask, keys, ["pos"], specs, splits).where("keep")
     fresh = ~F.coalesce("__pk", F.lit(False)) | (F.col("s_us") - F.col("__pe") > max_pause_us)
     paused = F.coalesce(F.col("__nk") & (F.col("__ns") - F.col("e_us") > max_pause_us), F.lit(False))
     lined = lined.withColumn("__new", fresh.cast("bigint")).withColumn("__paused", paused)
