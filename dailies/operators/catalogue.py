@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dailies.functions.arith import idiv
 from dailies.functions.text import slug
 from dailies.operators.dedupe import near_duplicates
-from dailies.operators.joins import asof_join, interval_join
+from dailies.operators.joins import asof_join, interval_join, nearest_times
 from dailies.operators.ordered import Splits, running
 
 CLIP = ["project_id", "clip_id"]
@@ -184,8 +184,8 @@ def render_context(boundaries: DataFrame, render_words: DataFrame, keys: Sequenc
     """What is heard around each boundary: the gap between the nearest words, and a word cut through."""
     keys = list(keys)
     early = boundaries.withColumns({"__b": F.col(at) + tol_us, "__a": F.col(at) - tol_us})
-    b = asof_join(early, render_words.select(*keys, F.col("e_us").alias("be")), keys, "__b", "be", ["be"], splits=splits)
-    a = asof_join(b, render_words.select(*keys, F.col("s_us").alias("as_")), keys, "__a", "as_", ["as_"], direction="forward", splits=splits)
+    b = nearest_times(early, keys, "__b", {"be": render_words.select(*keys, F.col("e_us").alias("at"))}, splits=splits)
+    a = nearest_times(b, keys, "__a", {"as_": render_words.select(*keys, F.col("s_us").alias("at"))}, direction="forward", splits=splits)
     ok = (F.col("be") > F.col(at) - window_us) & (F.col("as_") < F.col(at) + window_us)
     gap = F.when(ok, F.col("as_") - F.col("be"))
     point = boundaries.select(*keys, *[c for c in boundaries.columns if c not in keys]).withColumns({"__p0": F.col(at) - straddle_us, "__p1": F.col(at) + straddle_us})

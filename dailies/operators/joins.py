@@ -110,3 +110,26 @@ def asof_join(
     return found.where(F.col("__side") == 1).select(
         *keys, *[F.col("__row")[c].alias(c) for c in fields], *[F.col("__hit")[c].alias(c) for c in payload]
     )
+
+
+def nearest_times(
+    probes: DataFrame, keys: Sequence[str], t: str, lines: dict[str, DataFrame], *, direction: str = "backward", splits: Splits | None = None
+) -> DataFrame:
+    """Latest instant at or before ``t`` (or earliest at or after it) of several time lines at once.
+
+    ``lines`` maps a new column to (keys..., ``at``).  All lines share one shuffle and one sort with
+    the probes; equal instants are reduced to one beforehand.
+    """
+    keys = list(keys)
+    back = direction == "backward"
+    fields = [c for c in probes.columns if c not in keys]
+    both = probes.select(
+        *keys, F.col(t).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("string").alias("__line"), F.struct(*fields).alias("__row")
+    )
+    for name, line in lines.items():
+        points = line.select(*keys, F.col("at").alias("__t")).distinct()
+        both = both.unionByName(points.withColumns({"__side": F.lit(0 if back else 2), "__line": F.lit(name)}), allowMissingColumns=True)
+    kind = "last" if back else "next"
+    specs = {f"__n_{name}": (kind, F.when(F.col("__line") == name, F.col("__t"))) for name in lines}
+    found = running(both, keys, ["__t", "__side"], specs, splits).where(F.col("__side") == 1)
+    return found.select(*keys, *[F.col("__row")[c].alias(c) for c in fields], *[F.col(f"__n_{n}").alias(n) for n in lines])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dailies.functions.arith import idiv, round_div
 from dailies.operators.intervals import merge_ranges
-from dailies.operators.joins import asof_join, interval_join
+from dailies.operators.joins import asof_join, interval_join, nearest_times
 from dailies.operators.ordered import Splits, running
 
 P = ["project_id"]
@@ -143,10 +143,10 @@ def speech_geometry(
     never cuts the beat's own words.
     """
     k = ["clip_id"]
-    prev = asof_join(beats, words.select("clip_id", F.col("e_us").alias("prev_e")), k, "first_us", "prev_e", ["prev_e"], splits=splits)
-    both = asof_join(prev, words.select("clip_id", F.col("s_us").alias("next_s")), k, "last_us", "next_s", ["next_s"], direction="forward", splits=splits)
-    both = asof_join(both, protected.select("clip_id", F.col("e_us").alias("stop_e")), k, "first_us", "stop_e", ["stop_e"], splits=splits)
-    both = asof_join(both, protected.select("clip_id", F.col("s_us").alias("stop_s")), k, "last_us", "stop_s", ["stop_s"], direction="forward", splits=splits)
+    ends = lambda df: df.select("clip_id", F.col("e_us").alias("at"))
+    starts = lambda df: df.select("clip_id", F.col("s_us").alias("at"))
+    both = nearest_times(beats, k, "first_us", {"prev_e": ends(words), "stop_e": ends(protected)}, splits=splits)
+    both = nearest_times(both, k, "last_us", {"next_s": starts(words), "stop_s": starts(protected)}, direction="forward", splits=splits)
     limit = F.col("dur_us") - frame_time(F.lit(1), fps)
     seg_in = F.greatest(F.col("first_us") - pad_before_us, F.lit(0))
     seg_out = F.least(F.col("last_us") + pad_after_us, limit)

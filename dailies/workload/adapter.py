@@ -38,7 +38,13 @@ def transcripts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
-    return transcripts(spark, d).select("project_id", "clip_id", "lang", F.inline("words"))
+    tokens = F.filter(F.split("text", "[ \\n\\t]+"), lambda t: t != "")
+    rows = table(spark, d, "documents").select(
+        F.col("source").alias("project_id"), F.col("doc_id").alias("clip_id"), "lang", F.posexplode(tokens).alias("pos", "text")
+    )
+    pos = F.col("pos").cast("bigint")
+    start = word_start(pos)
+    return rows.select("project_id", "clip_id", "lang", pos.alias("pos"), start.alias("s_us"), (start + SPOKEN_US).alias("e_us"), "text")
 
 
 TOKENS = """toks AS (SELECT source AS project_id, doc_id AS clip_id, lang,

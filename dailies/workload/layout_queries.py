@@ -170,11 +170,10 @@ def speech_geometry(spark, d):
 
 @query("neighbour_words", f"""WITH {WORDS}, {GEO} SELECT b.clip_id, beat, first_us, last_us, (SELECT max(e_us) FROM words w WHERE w.clip_id = b.clip_id AND w.e_us <= first_us) AS prev_e, (SELECT min(s_us) FROM words w WHERE w.clip_id = b.clip_id AND w.s_us >= last_us) AS next_s FROM beats b""")
 def neighbour_words(spark, d):
-    from dailies.operators.joins import asof_join
+    from dailies.operators.joins import nearest_times
 
-    beats, w, _ = spoken_beats(spark, d)
-    prev = asof_join(beats.drop("dur_us"), w.select("clip_id", F.col("e_us").alias("prev_e")), ["clip_id"], "first_us", "prev_e", ["prev_e"])
-    return asof_join(prev, w.select("clip_id", F.col("s_us").alias("next_s")), ["clip_id"], "last_us", "next_s", ["next_s"], direction="forward")
+    prev = nearest_times(beats.drop("dur_us"), ["clip_id"], "first_us", {"prev_e": w.select("clip_id", F.col("e_us").alias("at"))})
+    return nearest_times(prev, ["clip_id"], "last_us", {"next_s": w.select("clip_id", F.col("s_us").alias("at"))}, direction="forward")
 
 
 @query("tight_joins", f"""WITH {SEGMENTS}, b AS (SELECT project_id, pos, clip_id AS beat, CASE WHEN clip_id % 3 < 2 THEN 'speech' ELSE 'broll' END AS kind, clip_id % 7 * 60000 AS tail_us, clip_id % 5 * 60000 AS head_us, clip_id % 4 = 0 AS joined FROM segments),
