@@ -20,6 +20,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def word_start(pos: Column) -> Column:
+    pos = pos.cast("bigint")
     return pos * WORD_US + idiv(pos, PAUSE_EVERY) * PAUSE_US
 
 
