@@ -73,36 +73,38 @@ def plan_splits(
 
 _BEFORE = (Window.unboundedPreceding, -1)
 _UPTO = (Window.unboundedPreceding, 0)
-_FROM = (0, Window.unboundedFollowing)
-_AFTER = (1, Window.unboundedFollowing)
 
-#: kind -> (frame inside a range, frame over range summaries)
+#: kind -> (frame inside a range, frame over range summaries, looks ahead).  Looking ahead is done on
+#: the reversed order, because a frame that ends at the last row is re-evaluated for every row.
 _FRAMES = {
-    "lag": (None, _BEFORE),
-    "lead": (None, _AFTER),
-    "max_before": (_BEFORE, _BEFORE),
-    "sum": (_UPTO, _BEFORE),
-    "last": (_UPTO, _BEFORE),
-    "last_before": (_BEFORE, _BEFORE),
-    "next": (_FROM, _AFTER),
-    "next_after": (_AFTER, _AFTER),
+    "lag": (None, _BEFORE, False),
+    "lead": (None, _BEFORE, True),
+    "max_before": (_BEFORE, _BEFORE, False),
+    "sum": (_UPTO, _BEFORE, False),
+    "last": (_UPTO, _BEFORE, False),
+    "last_before": (_BEFORE, _BEFORE, False),
+    "next": (_UPTO, _BEFORE, True),
+    "next_after": (_BEFORE, _BEFORE, True),
 }
 
 
-def _local(kind: str, expr: Column, window) -> Column:
-    frame = _FRAMES[kind][0]
+def _windows(keys: list[str], order: list[str]):
+    base = Window.partitionBy(*keys)
+    return base.orderBy(*order), base.orderBy(*[F.col(c).desc() for c in order])
+
+
+def _local(kind: str, expr: Column, windows) -> Column:
+    frame, _, ahead = _FRAMES[kind]
     if kind == "lag":
-        return F.lag(expr).over(window)
+        return F.lag(expr).over(windows[0])
     if kind == "lead":
-        return F.lead(expr).over(window)
-    framed = window.rowsBetween(*frame)
+        return F.lead(expr).over(windows[0])
+    framed = windows[1 if ahead else 0].rowsBetween(*frame)
     if kind == "max_before":
         return F.max(expr).over(framed)
     if kind == "sum":
         return F.sum(expr).over(framed)
-    if kind in ("last", "last_before"):
-        return F.last(expr, ignorenulls=True).over(framed)
-    return F.first(expr, ignorenulls=True).over(framed)
+    return F.last(expr, ignorenulls=True).over(framed)
 
 
 def _summary(kind: str, expr: Column, order: Column) -> Column:
@@ -118,16 +120,15 @@ def _summary(kind: str, expr: Column, order: Column) -> Column:
     return F.max_by(expr, known) if kind in ("last", "last_before") else F.min_by(expr, known)
 
 
-def _carry(kind: str, name: str, window) -> Column:
-    framed = window.rowsBetween(*_FRAMES[kind][1])
+def _carry(kind: str, name: str, windows) -> Column:
+    _, frame, ahead = _FRAMES[kind]
+    framed = windows[1 if ahead else 0].rowsBetween(*frame)
     col = F.col(name)
     if kind == "max_before":
         return F.max(col).over(framed)
     if kind == "sum":
         return F.sum(col).over(framed)
-    if kind in ("lag", "last", "last_before"):
-        return F.last(col, ignorenulls=True).over(framed)
-    return F.first(col, ignorenulls=True).over(framed)
+    return F.last(col, ignorenulls=True).over(framed)
 
 
 def running(
@@ -145,23 +146,23 @@ def running(
     """
     keys, order = list(keys), list(order)
     if splits is None:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[_local(k, e, window).alias(n) for n, (k, e) in specs.items()])
+        windows = _windows(keys, order)
+        return df.select("*", *[_local(k, e, windows).alias(n) for n, (k, e) in specs.items()])
 
     ranged = splits.assign(df, order[0])
     place = F.struct(*order)
     summary = ranged.groupBy(*keys, BUCKET).agg(
         *[_summary(k, e, place).alias(n) for n, (k, e) in specs.items()]
     )
-    over = Window.partitionBy(*keys).orderBy(BUCKET)
+    over = _windows(keys, [BUCKET])
     carried = summary.select(
         *keys, BUCKET, *[_carry(k, n, over).alias(f"__c_{n}") for n, (k, _) in specs.items()]
     )
-    window = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    windows = _windows([*keys, BUCKET], order)
     local = ranged.select(
         "*",
         *[
-            _local(k, F.struct(e.alias("v")) if k in ("lag", "lead") else e, window).alias(f"__l_{n}")
+            _local(k, F.struct(e.alias("v")) if k in ("lag", "lead") else e, windows).alias(f"__l_{n}")
             for n, (k, e) in specs.items()
         ],
     ).join(carried, [*keys, BUCKET])
