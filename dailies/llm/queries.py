@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dailies.llm import naming, sharding, winnowing
+from dailies.llm import licenses, naming, secrets, sharding, winnowing
 
 QUERIES, ORACLES = {}, {}
 
@@ -75,3 +75,15 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 @query(EXACT)
 def op7_block_naming(spark: SparkSession, d: str) -> DataFrame:
     return naming.exact_dedup(docs_of(spark, d))
+
+
+@query()
+def op3_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.license_scan(docs_of(spark, d))
+
+
+@query()
+def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    out = secrets.secret_scan(docs_of(spark, d))
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(said("base_spans"), 256).alias("base_sha256"), said("spans").alias("spans"))
