@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dailies.llm import licenses, minmax, naming, secrets, sharding, winnowing
+from dailies.llm import langid, licenses, minmax, naming, secrets, sharding, winnowing
 
 QUERIES, ORACLES = {}, {}
 
@@ -103,3 +103,11 @@ def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     out = secrets.secret_scan(docs_of(spark, d))
     said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(said("base_spans"), 256).alias("base_sha256"), said("spans").alias("spans"))
+
+
+@query()
+def op8_string_kernels(spark: SparkSession, d: str) -> DataFrame:
+    docs = docs_of(spark, d).select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    model = langid.train(docs.filter(~F.coalesce("held_out", F.lit(False))))
+    return langid.predict(docs, model, keep=("doc_id", "held_out"))
