@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dailies.llm import langid, licenses, minmax, naming, secrets, sharding, winnowing
+from dailies.llm import langid, licenses, minmax, naming, pieces, secrets, sharding, winnowing
 
 QUERIES, ORACLES = {}, {}
 
@@ -111,3 +111,10 @@ def op8_string_kernels(spark: SparkSession, d: str) -> DataFrame:
     docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
     model = langid.train(docs.filter(~F.coalesce("held_out", F.lit(False))))
     return langid.predict(docs, model, keep=("doc_id", "held_out"))
+
+
+@query()
+def op6_viterbi(spark: SparkSession, d: str) -> DataFrame:
+    ids = pieces.encode(docs_of(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("given", F.sha2("text", 256)), keep=("doc_id", "given"))
+    back = pieces.decode(ids.withColumn("n_tokens", F.size("ids").cast("bigint")).withColumn("ids_hash", F.xxhash64("ids")), keep=("doc_id", "given", "n_tokens", "ids_hash"))
+    return back.select("doc_id", "n_tokens", "ids_hash", F.char_length("text").cast("bigint").alias("n_chars"), (F.sha2("text", 256) == F.col("given")).alias("same_text"))
