@@ -137,11 +137,26 @@ class Words:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        # the sign of each byte in a byte-level vocabulary: printable Latin-1 stands for itself, the others follow from U+0100
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.signs = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.table = UnitTable(self._encode)
         self.stems = UnitTable(self._ask)
 
     def _ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
+        """Words of Latin-1 letters are in normal form once lower-cased and go straight to the library's merges; others through all its steps."""
+        got: list = [None] * len(words)
+        rest = []
+        for i, w in enumerate(words):
+            if w.isalpha() and max(w) < "\u0100":
+                w = w.lower()
+                got[i] = [t.id for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.signs))]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.library.encode_batch([words[i] for i in rest], add_special_tokens=False)):
+            got[i] = e.ids
         counts = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter((x for g in got for x in g), np.int32, int(counts.sum())), counts
 

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from dailies.llm.units import UnitTable, groups
 
@@ -177,7 +177,7 @@ def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id
                 lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)])), pa.array(ids)).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, j - i) for c in keep], lists], [*keep, "ids"])
 
-    schema = StructType([docs.schema[c] for c in keep]).add("ids", "array<int>")
+    schema = StructType([docs.schema[c] for c in keep]).add("ids", ArrayType(IntegerType()))
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dailies.llm import langid, licenses, minmax, naming, pieces, secrets, sharding, winnowing
+from dailies.llm import langid, licenses, minmax, naming, pfor, pieces, secrets, sharding, winnowing
+from dailies.session import ensure_checkpoint_dir
 
 QUERIES, ORACLES = {}, {}
 
@@ -118,3 +121,11 @@ def op6_viterbi(spark: SparkSession, d: str) -> DataFrame:
     ids = pieces.encode(docs_of(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("given", F.sha2("text", 256)), keep=("doc_id", "given"))
     back = pieces.decode(ids.withColumn("n_tokens", F.size("ids").cast("bigint")).withColumn("ids_hash", F.xxhash64("ids")), keep=("doc_id", "given", "n_tokens", "ids_hash"))
     return back.select("doc_id", "n_tokens", "ids_hash", F.char_length("text").cast("bigint").alias("n_chars"), (F.sha2("text", 256) == F.col("given")).alias("same_text"))
+
+
+@query()
+def op9_token_pages(spark: SparkSession, d: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
+    pfor.write_tokens(docs_of(spark, d), path)
+    return pfor.token_index(spark, path)

@@ -8,7 +8,10 @@ import numpy as np
 
 
 class UnitTable:
-    """Ids of units (words with what precedes them), each encoded once; emptied when it holds ``limit`` units, so memory stays bounded."""
+    """Ids of units (words with what precedes them), each encoded when first met.
+
+    At ``limit`` units those met least are dropped, so memory stays bounded; ids never depend on what is held.
+    """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
         self.encode, self.limit = encode, limit
@@ -16,14 +19,25 @@ class UnitTable:
 
     def _empty(self) -> None:
         self.rows: dict[str, int] = {}
-        self.starts, self.lengths, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
+        self.starts, self.lengths, self.met = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat = np.zeros(1 << 18, np.int32)
         self.used = 0
 
-    def _add(self, units: list[str]) -> None:
-        ids, lengths = self.encode(units)
+    def _shrink(self) -> None:
+        """Keep units met more often than others, at most half the limit."""
+        n = len(self.rows)
+        least = max(2, int(np.partition(self.met[:n], n - self.limit // 2)[n - self.limit // 2]) + 1)
+        kept = np.flatnonzero(self.met[:n] >= least)
+        units, lengths, met = list(self.rows), self.lengths[kept], self.met[kept]
+        ids = self.flat[np.concatenate([np.arange(a, a + k) for a, k in zip(self.starts[kept], lengths)] or [np.zeros(0, np.int64)])]
+        self._empty()
+        self._put([units[i] for i in kept], ids, lengths)
+        self.met[: len(kept)] = met // 2
+
+    def _put(self, units: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         first, n = len(self.rows), len(units)
         while first + n > len(self.starts):
-            self.starts, self.lengths = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self.starts, self.lengths, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.met))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -37,11 +51,12 @@ class UnitTable:
         units = [u for t in texts for u in t]
         missing = sorted(set(units).difference(self.rows))
         if missing and len(self.rows) + len(missing) > self.limit:
-            self._empty()
-            missing = sorted(set(units))
+            self._shrink()
+            missing = sorted(set(units).difference(self.rows))
         if missing:
-            self._add(missing)
+            self._put(missing, *self.encode(missing))
         at = np.fromiter(map(self.rows.__getitem__, units), np.int64, len(units))
+        self.met[: len(self.rows)] += np.bincount(at, minlength=len(self.rows))
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
