@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dailies.llm import langid, licenses, minmax, naming, pfor, pieces, secrets, sharding, winnowing
+from dailies.llm import chat, langid, licenses, minmax, naming, pfor, pieces, secrets, sharding, winnowing
 from dailies.session import ensure_checkpoint_dir
 
 QUERIES, ORACLES = {}, {}
@@ -129,3 +129,11 @@ def op9_token_pages(spark: SparkSession, d: str) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
     pfor.write_tokens(docs_of(spark, d), path)
     return pfor.token_index(spark, path)
+
+
+@query()
+def op2_chat_windows(spark: SparkSession, d: str) -> DataFrame:
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    more = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    return chat.conversation_digests(chat.read_windows(chat.chat_windows(turns.unionByName(more))))

@@ -48,11 +48,12 @@ def _fingerprints(rows: DataFrame, span: int, sentinel: bool) -> DataFrame:
     return rows.filter((F.col("j") <= 0) | (F.col("at") != F.col("at0"))).select(*keep, "n", "at", "fp")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, keys: bool = False) -> DataFrame:
     """Words of ``docs`` (doc_id, text) inside any occurrence of a window of ``benchmark`` (item_id, text), one row per row.
 
     A window is ``span`` consecutive words of an item; an item with fewer words is one window. Returns doc_id,
-    n_words, n_hit, n_items, items_sha256, contaminated, and spans, the merged hit ranges [start, end) of words.
+    n_words, n_hit, n_items, items_sha256, contaminated, and spans, the merged hit ranges [start, end) of words; with
+    ``keys`` also h, a hash of the text.
 
     Both sides keep the smallest gram hash of every window of words (for short items, of their own length); equal
     fingerprints are joined, each hit is extended to the windows around it, and these are compared word by word with
@@ -115,7 +116,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10) -> Data
 
     out = join_keyed(join_keyed(base.select("doc_id", "h", "n", "copies"), spans, "left"), named, "left")
     return out.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")).select(
-        "doc_id", F.col("n").cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
+        "doc_id", *(["h"] if keys else []), F.col("n").cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
     )
