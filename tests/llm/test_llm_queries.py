@@ -1,0 +1,211 @@
+"""Each registered query against a plain version on odd rows, and on empty tables."""
+
+from collections import Counter
+
+import plain
+import pytest
+
+import corpus_pipeline
+from dailies.llm import chat, langid, licenses, minmax, naming, pfor, pieces, secrets, sharding
+from dailies.llm.queries import QUERIES
+
+
+def docs_of(odd):
+    return [(r.doc_id, r.text) for r in odd.collect()]
+
+
+def same(got, want):
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_contamination(spark, odd, odd_dir):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{odd_dir}/benchmark.parquet").collect()]
+    got = QUERIES["op1_winnowing"](spark, odd_dir).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    same(got, plain.contamination(docs_of(odd), items))
+
+
+def test_licenses(spark, odd, odd_dir):
+    got = QUERIES["op3_license_scan"](spark, odd_dir).collect()
+    same([(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got], plain.phrases(docs_of(odd), licenses.PHRASES))
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
+    assert {r.labels for r in got if r.doc_id == 4} == {"apache-2.0,cc-by,creative-commons,reserved"}
+
+
+def test_template_needs_its_share(spark):
+    docs = spark.createDataFrame([(1, "released under mit license " + "x " * 70 + "released under"), (2, "released under mit"), (3, "y " * 62 + "released under the mit license")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(docs).collect()}
+    assert got == {1: ("mit", 0.8), 2: ("", 0.0), 3: ("mit", 1.0)}
+
+
+def test_shards(spark, odd, odd_dir):
+    got = QUERIES["op4_interleaving"](spark, odd_dir).collect()
+    sizes = Counter(r.shard for r in got)
+    assert len(got) == odd.count() and max(sizes.values()) - min(sizes.values()) <= 1 and set(sizes) == set(range(8))
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in docs_of(odd))
+    small = sharding.interleave_shards(odd, 8, bucket_rows=3).drop("source").collect()  # many buckets give the same places
+    assert Counter((r.doc_id, r.size, r.shard, r.slot) for r in small) == Counter((r.doc_id, r.size, r.shard, r.slot) for r in got)
+
+
+def test_mixture_of_shards(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('t', id) AS text", "CASE WHEN id % 10 < 4 THEN 'a' WHEN id % 10 < 9 THEN 'b' END AS source")
+    by = Counter((r.shard, r.source) for r in sharding.interleave_shards(docs, 8).collect())
+    assert all(abs(by[s, c] - n / 8) <= 1 for s in range(8) for c, n in (("a", 1600), ("b", 2000), (None, 400)))
+
+
+@pytest.mark.parametrize("shingle", [1, 2, 5])
+def test_near(spark, odd, shingle):
+    got = minmax.near_duplicates(odd, shingle=shingle).collect()
+    same([(r.doc_id, r.n_shingles, r.component_id, r.doc_id == r.component_id) for r in got], plain.near(docs_of(odd), shingle))
+
+
+def test_near_group_without_a_centre(spark):
+    """A chain and a crowd whose members are linked only in part: every link counts, whatever bucket it meets in."""
+    chain = [(i, " ".join(f"c{j}" for j in range(i * 3, i * 3 + 40))) for i in range(30)]
+    crowd = [(100 + i, " ".join(f"w{j}" if (j * 7 + i * 11) % 97 > 5 else f"x{i}_{j}" for j in range(200))) for i in range(120)]
+    docs = chain + crowd
+    got = minmax.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), shingle=1).collect()
+    same([(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got], plain.near(docs, 1))
+
+
+def test_exact(spark, odd, odd_dir):
+    got = QUERIES["op7_block_naming"](spark, odd_dir).collect()
+    same([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got], plain.exact(docs_of(odd)))
+    kept = Counter((r.keep_id, r.text_sha256) for r in got if r.kept)
+    assert set(kept.values()) == {1} and set(kept) == {(r.keep_id, r.text_sha256) for r in got}
+    tiny = naming.exact_dedup(odd, block_bytes=7).collect()  # many levels of names
+    assert Counter(map(tuple, tiny)) == Counter(map(tuple, got))
+
+
+def test_language(spark, odd_dir, odd):
+    got = QUERIES["op8_string_kernels"](spark, odd_dir).collect()
+    assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.lang_pred in ("en", "de", "und") for r in got)
+    assert {r.lang_pred for r in got if r.doc_id in (1, 2, 3, 9)} == {"und"} and all(r.lang_pred != "und" for r in got if r.doc_id in (4, 5, 6, 10, 14))
+
+
+def test_language_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    got = QUERIES["op8_string_kernels"](spark, d).filter("held_out").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("lang IS NOT NULL").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got) > 0
+
+
+def test_spectrum_of_pieces_of_a_long_text():
+    text = "Ab c\u00e9 9 z! " * 300
+    whole, langid.CHUNK, keep = langid.spectrum(text), 7, langid.CHUNK
+    try:
+        assert (langid.spectrum(text) == whole).all()
+    finally:
+        langid.CHUNK = keep
+
+
+def test_tokens(spark, odd, odd_dir):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(pfor.TOKENIZER)
+    want = plain.token_rows(docs_of(odd), lambda t: library.encode(t, add_special_tokens=False).ids)
+    same(QUERIES["op9_token_pages"](spark, odd_dir).collect(), want)
+
+
+def test_token_pages_hold_ids(spark, odd, tmp_path):
+    pfor.write_tokens(odd, f"{tmp_path}/t")
+    got = pfor.read_tokens(spark, f"{tmp_path}/t").orderBy("start").collect()
+    at = 0
+    for r in got:
+        assert r.start == at and r.ids[-1] == 2
+        at += len(r.ids)
+
+
+def test_blocks_round_trip():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 511, 512, 513, 3000):
+        for top in (1, 2, 50_000, 2**32):
+            a = rng.integers(0, top, n)
+            a[rng.random(n) < 0.05] = top - 1
+            assert (pfor.read_blocks(pfor.write_blocks(a)) == a).all()
+
+
+def test_units_survive_a_full_table():
+    library = pfor.Words(pfor.TOKENIZER)
+    library.table.limit = library.stems.limit = 50
+    texts = [" ".join(f"Word{chr(97 + (i * j) % 26)}{chr(97 + j % 26)}," for j in range(20)) for i in range(60)]
+    for t in texts:
+        assert library.ids([t])[0].tolist() == library.library.encode(t, add_special_tokens=False).ids
+
+
+def test_secrets(spark, odd, odd_dir):
+    got = QUERIES["op10_secret_scan"](spark, odd_dir).collect()
+    same([(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got], plain.secrets(docs_of(odd)))
+    assert [r.spans for r in got if r.doc_id == 8] == ["assign:0:29,hex:9:29,access:35:55,weak_secret:61:76,identifier:82:101,endpoint:105:125"]
+
+
+def test_weak_parts_alone_are_not_told(spark):
+    rows = [(1, "client_id=abcdefgh"), (2, "see https://a.b/c"), (3, "password=short1"), (4, "client_id=abcdefgh" + " x" * 150 + " password=short1"), (5, "client_id=abcdefgh password=short1 https://a.b"), (6, "https://a.b password=short1")]
+    got = {r.doc_id: [x.kind for x in r.spans] for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: [], 2: [], 3: [], 4: [], 5: ["identifier", "weak_secret", "endpoint"], 6: []}
+
+
+def test_conversations(spark, odd_dir):
+    turns = [tuple(r) for r in spark.read.parquet(f"{odd_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    ok = "</s>[INST] ok [/INST]"
+    got = QUERIES["op2_chat_windows"](spark, odd_dir).collect()
+    same([(r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got], plain.conversations(turns + [(-1, 0, "user", ok), (-1, 1, "assistant", ok)]))
+
+
+def test_windows_keep_their_budget(spark, odd_dir):
+    turns = spark.read.parquet(f"{odd_dir}/conversations.parquet")
+    got = chat.chat_windows(turns, budget=512, history=128).filter("conv_id = 3").orderBy("window").collect()
+    assert len(got) > 20 and all(r.n_tokens <= 512 for r in got)
+    assert all(r.formatted.startswith("<s>[INST]system[/INST]stay calm</s>") for r in got)
+    assert all(r.n_repeated >= 2 for r in got[1:]) and got[0].n_repeated == 0
+    for r in got:
+        assert all(r.formatted[x.start - len(chat.OPEN + "assistant" + chat.SAID) :].startswith(chat.OPEN + "assistant" + chat.SAID) and r.formatted[x.end :].startswith(chat.CLOSE) for x in r.loss)
+
+
+def test_pieces_round_trip(spark, odd, odd_dir):
+    got = QUERIES["op6_viterbi"](spark, odd_dir).collect()
+    assert len(got) == odd.count() and all(r.same_text for r in got if r.doc_id != 14) and all(r.n_tokens == 0 for r in got if r.doc_id in (1, 2))
+
+
+def test_pieces_are_the_best_cut(spark):
+    """Against the library's own unigram search over the same pieces and scores (the file re-typed)."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(pieces.MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    for p in model.pieces:
+        if p.score < pieces.RULED_OUT:
+            p.type = p.UNUSED
+    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "substring(text, 1, 150) AS text")
+    odd = spark.createDataFrame([(-1, "a  b\n\n c \u4e16\u754c\U0001f642 x"), (-2, "\n"), (-3, "   "), (-4, "if (x) {\r\n  y();\r\n}")], "doc_id bigint, text string")
+    got = pieces.encode(docs.unionByName(odd), keep=("doc_id", "text")).collect()
+    assert all(r.ids == library.encode(r.text) for r in got)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_empty_tables(spark, none_dir, name):
+    rows = QUERIES[name](spark, none_dir).collect()
+    assert [r.conv_id for r in rows] == [-1] if name == "op2_chat_windows" else rows == []
+
+
+def test_pipeline_on_odd_rows(spark, odd, odd_dir, none_dir):
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, odd_dir)
+        assert out.columns == docs.columns, name
+    assert corpus_pipeline.run(spark, none_dir).collect() == []
+    kept = [(r.doc_id, r.text) for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    first = {}
+    for (d, t), (_, keep, _, s) in zip(kept, plain.exact(kept)):
+        if d == keep or keep is None:
+            first[keep, s] = (d, t)
+    kept = list(first.values())
+    kept = [x for x, n in zip(kept, plain.near(kept, 5)) if n[3] or n[2] is None]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{odd_dir}/benchmark.parquet").collect()]
+    kept = [x for x, c in zip(kept, plain.contamination(kept, items)) if not c[5]]
+    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, odd_dir).collect()) == Counter(d for d, _ in kept)
