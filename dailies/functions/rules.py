@@ -26,9 +26,9 @@ TITLE_FORMULAS = {
     "|\\bfrom\\s+\\w+\\s+to\\s+\\w+|\\bturned\\s+into\\b|\\btransform\\w*",
 }
 STOPWORDS = (
-    "the and for with from that this into your you jest sie się nie tak jak ale oraz przez dla czy juz już tym tego ktore które "
-    "moze może byl był była byla jego jej ich sam tylko bardzo"
-).split()
+    "the", "and", "for", "with", "from", "that", "this", "into", "your", "you", "jest", "sie", "się", "nie", "tak", "jak", "ale", "oraz", "przez", "dla", "czy", "juz",
+    "już", "tym", "tego", "ktore", "które", "moze", "może", "byl", "był", "była", "byla", "jego", "jej", "ich", "sam", "tylko", "bardzo",
+)
 TITLE_MIN, TITLE_MAX, TITLE_HARD_MAX = 55, 70, 100
 
 
@@ -44,8 +44,10 @@ def title_tags(title: Column) -> Column:
 
 
 def repeated_keywords(title: Column) -> Column:
-    words = F.filter(F.regexp_extract_all(F.lower(title), F.lit("((?U)\\w{4,})"), 1), lambda w: ~w.isin(*STOPWORDS))
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: F.size(F.filter(words, lambda v: v == w)) > 1)))
+    words = F.sort_array(F.filter(F.regexp_extract_all(F.lower(title), F.lit("((?U)\\w{4,})"), 1), lambda w: ~w.isin(*STOPWORDS)))
+    ahead = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
+    pairs = F.filter(F.arrays_zip(words.alias("a"), ahead.alias("b")), lambda p: p["a"] == p["b"])
+    return F.array_distinct(F.transform(pairs, lambda p: p["a"]))
 
 
 def title_issues(title: Column) -> Column:

@@ -11,18 +11,20 @@ from dailies.functions.arith import floor_div
 from dailies.operators.ordered import Splits, running
 
 
-def _binned(df: DataFrame, s: str, e: str, fine: int, coarse: int, level: Column) -> DataFrame:
-    """One row per (level, bin) an interval touches; long intervals only use the coarse bins."""
+#: What a row is posted as: both intervals short (fine bins); the left one long; only the right one long (coarse bins).
+BOTH_SHORT, LEFT_LONG, RIGHT_LONG = 0, 1, 2
 
-    def bins(tag: int, width: int) -> Column:
+
+def _posted(df: DataFrame, s: str, e: str, fine: int, coarse: int, short_as: list[int], long_as: list[int], limit: int) -> DataFrame:
+    """One row per (role, bin) an interval touches; a role says which lengths meet there, so no pair meets in two roles."""
+
+    def bins(role: int) -> Column:
+        width = fine if role == BOTH_SHORT else coarse
         first, last = floor_div(F.col(s), width), floor_div(F.greatest(F.col(e) - 1, F.col(s)), width)
-        return F.transform(
-            F.sequence(first, last),
-            lambda b: F.struct(F.lit(tag).alias("lvl"), b.alias("bin"), first.alias("first")),
-        )
+        return F.transform(F.sequence(first, last), lambda b: F.struct(F.lit(role).alias("role"), b.alias("bin"), first.alias("first")))
 
-    fine_bins = F.when(level == 0, bins(0, fine)).otherwise(F.array().cast("array<struct<lvl:int,bin:bigint,first:bigint>>"))
-    return df.withColumn("__lvl", level).withColumn("__b", F.explode(F.concat(fine_bins, bins(1, coarse))))
+    long_ = F.col(e) - F.col(s) > limit
+    return df.withColumn("__b", F.explode(F.when(long_, F.concat(*map(bins, long_as))).otherwise(F.concat(*map(bins, short_as)))))
 
 
 def interval_join(
@@ -38,39 +40,26 @@ def interval_join(
 ) -> DataFrame:
     """All pairs with equal keys and ``left.s < right.e and left.e > right.s`` (each pair once).
 
-    Both sides are cut into time bins and equi-joined on keys + bin, so a hot key spreads over its
-    bins and a hot bin is left to skew-join splitting.  Intervals longer than 16 fine bins go to
-    coarse bins only.  A pair is kept in the first bin both sides share, so nothing has to be
-    de-duplicated.  Right key columns are dropped; other column names must differ.
+    Both sides are cut into time bins and equi-joined on keys + role + bin, so a hot key spreads over its bins and a
+    hot bin is left to skew-join splitting. Two short intervals (up to 16 fine bins) meet only in fine bins; coarse
+    bins hold pairs with a long interval. A pair is kept in the first bin both sides share, so nothing has to be
+    de-duplicated. Right key columns are dropped; other column names must differ.
     """
     keys = list(keys)
     limit = 16 * bin_us
     ls, le = left_span
     rs, re_ = right_span
-    lv = F.when(F.col(le) - F.col(ls) > limit, 1).otherwise(0)
-    rv = F.when(F.col(re_) - F.col(rs) > limit, 1).otherwise(0)
-    a = _binned(left, ls, le, bin_us, coarse_us, lv).select(
-        *[F.col(k).alias(f"__lk{i}") for i, k in enumerate(keys)],
-        *left.columns, F.col("__lvl").alias("__ll"), F.col("__b.lvl").alias("__ltag"),
-        F.col("__b.bin").alias("__lbin"), F.col("__b.first").alias("__lfirst"),
-    )
-    b = _binned(right, rs, re_, bin_us, coarse_us, rv).select(
-        *[F.col(k).alias(f"__rk{i}") for i, k in enumerate(keys)],
-        *[c for c in right.columns if c not in keys], F.col("__lvl").alias("__rl"),
-        F.col("__b.lvl").alias("__rtag"), F.col("__b.bin").alias("__rbin"), F.col("__b.first").alias("__rfirst"),
+    a = _posted(left, ls, le, bin_us, coarse_us, [BOTH_SHORT, RIGHT_LONG], [LEFT_LONG], limit).select(
+        *[F.col(k).alias(f"__lk{i}") for i, k in enumerate(keys)], *left.columns, *[F.col(f"__b.{c}").alias(f"__l{c}") for c in ("role", "bin", "first")]
     )
-    on = [F.col(f"__lk{i}") == F.col(f"__rk{i}") for i in range(len(keys))]
-    on += [F.col("__ltag") == F.col("__rtag"), F.col("__lbin") == F.col("__rbin")]
-    residual = (
-        (F.col("__ltag") == F.greatest("__ll", "__rl"))
-        & (F.col("__lbin") == F.greatest("__lfirst", "__rfirst"))
-        & (F.least(F.col(le), F.col(re_)) - F.greatest(F.col(ls), F.col(rs)) > min_overlap)
+    b = _posted(right, rs, re_, bin_us, coarse_us, [BOTH_SHORT, LEFT_LONG], [LEFT_LONG, RIGHT_LONG], limit).select(
+        *[F.col(k).alias(f"__rk{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys], *[F.col(f"__b.{c}").alias(f"__r{c}") for c in ("role", "bin", "first")]
     )
-    cond = residual
-    for part in on:
-        cond = cond & part
-    keep = list(left.columns) + [c for c in right.columns if c not in keys]
-    return a.join(b, cond, "inner").select(*keep)
+    cond = (F.col("__lbin") == F.greatest("__lfirst", "__rfirst")) & (F.least(F.col(le), F.col(re_)) - F.greatest(F.col(ls), F.col(rs)) > min_overlap)
+    for i in range(len(keys)):
+        cond = cond & (F.col(f"__lk{i}") == F.col(f"__rk{i}"))
+    cond = cond & (F.col("__lrole") == F.col("__rrole")) & (F.col("__lbin") == F.col("__rbin"))
+    return a.join(b, cond, "inner").select(*left.columns, *[c for c in right.columns if c not in keys])
 
 
 def asof_join(

@@ -120,12 +120,13 @@ def noise_levels(words: DataFrame, blocks: DataFrame, *, edge_us: int = 1_000_00
 
 
 def low_band_ratio(samples: DataFrame, keys: Sequence[str], *, rate: int, cutoff_hz: float = 150.0, max_s: float = 20.0) -> DataFrame:
-    """Share of spectral energy below ``cutoff_hz`` in a clip's first ``max_s`` seconds of gap audio.
+    """Share of spectral energy below ``cutoff_hz`` in each stretch of ``max_s`` seconds of a clip's gap audio.
 
-    Samples beyond the budget are dropped before grouping (``pos`` is the position in the gap
-    audio), so a group never exceeds ``max_s * rate`` samples.
+    ``pos`` is the position in the gap audio; ``stretch`` 0 holds the first ``max_s`` seconds. Every sample counts and
+    a group never exceeds ``max_s * rate`` of them.
     """
-    keys = list(keys)
+    samples = samples.withColumn("stretch", idiv(F.col("pos"), int(max_s * rate)))
+    keys = [*keys, "stretch"]
 
     def ratio(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("pos")["x"].to_numpy(dtype=float)
@@ -135,7 +136,7 @@ def low_band_ratio(samples: DataFrame, keys: Sequence[str], *, rate: int, cutoff
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "low_band": round(float(low / total), 6) if total > 0 else 0.0}])
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in samples.schema if f.name in keys)
-    return samples.where(F.col("pos") < int(max_s * rate)).groupBy(*keys).applyInPandas(ratio, f"{types}, low_band double")
+    return samples.groupBy(*keys).applyInPandas(ratio, f"{types}, low_band double")
 
 
 def classify_noise(levels: DataFrame) -> DataFrame:

@@ -8,31 +8,41 @@ put in order per key.  The cut points come from :func:`plan_splits`.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 BUCKET = "__range"
 
 
 @dataclass(frozen=True)
 class Splits:
-    """Cut points of the hot keys: a DataFrame (keys..., ``__bounds`` ARRAY<BIGINT>).
+    """Cut points of the hot keys: a DataFrame (keys..., ``__bounds`` ARRAY<BIGINT>, ``__cells`` INT).
 
-    It has at most ``1 / hot_share`` rows of ``pieces`` numbers each, whatever the table size.
+    A key holds more than ``hot_share`` of the rows, so there are at most ``1 / hot_share`` of them, whatever the
+    table's size; each has at most ``QUANTILES + 1`` bounds.
     """
 
     bounds: DataFrame
     keys: tuple[str, ...]
 
     def assign(self, df: DataFrame, order: str) -> DataFrame:
-        """Add the range number of every row (0 for keys that are not hot)."""
-        marked = df.join(F.broadcast(self.bounds), list(self.keys), "left")
-        rank = F.size(F.filter("__bounds", lambda b: b <= F.col(order)))
-        return marked.withColumn(BUCKET, F.when(F.col("__bounds").isNull(), 0).otherwise(rank)).drop("__bounds")
+        """Add the range number of every row (0 for keys that are not hot): its quantile, cut into even cells."""
+        marked = df.join(F.broadcast(self.bounds), list(self.keys), "left").withColumn("__q", F.size(F.filter("__bounds", lambda b: b <= F.col(order))))
+        low, high = F.get("__bounds", F.col("__q") - 1), F.get("__bounds", F.col("__q"))
+        width = F.greatest(F.lit(1), F.ceil((high - low) / F.col("__cells")))
+        cell = F.coalesce(F.floor((F.col(order) - low) / width), F.lit(0))
+        place = F.col("__q").cast("bigint") * F.col("__cells") + cell
+        return marked.withColumn(BUCKET, F.when(F.col("__bounds").isNull(), 0).otherwise(place).cast("bigint")).drop("__bounds", "__cells", "__q")
+
+
+QUANTILES = 256
 
 
 def plan_splits(
@@ -40,35 +50,30 @@ def plan_splits(
     keys: Sequence[str],
     order: str,
     *,
-    min_rows: int = 20_000_000,
     hot_share: float = 0.002,
-    pieces: int = 256,
+    piece_rows: int = 1_000_000,
     sample_rows: int = 500_000,
-) -> Splits | None:
+) -> Splits:
     """Find keys holding more than ``hot_share`` of the rows and cut points inside them.
 
-    ``df`` should be a scan or a cheap projection of one.  Only the choice of cut points uses a
-    sample; results never depend on it, since any cut at an order value is valid.  The result has
-    at most ``1 / hot_share`` keys.  Tables under ``min_rows`` are left alone.
+    ``df`` should be a scan or a cheap projection of one; its count sets the sampling rate. Only the choice of cut
+    points uses the sample; results never depend on it, since any cut at an order value is valid. A key is cut at 256
+    quantiles, and each of these into as many even cells as bring a piece to about ``piece_rows``, so pieces do not
+    grow with the table. The plan of the cut points stays lazy and has at most ``1 / hot_share`` rows.
     """
     total = df.count()
-    if total < min_rows:
-        return None
     fraction = min(1.0, sample_rows / max(total, 1))
     base = df.select(*keys, F.col(order).alias("__o"))
     sample = base if fraction >= 1.0 else base.sample(fraction, seed=17)
-    quantiles = [i / pieces for i in range(1, pieces)]
-    floor = max(2, int(total * fraction * hot_share))
+    quantiles = [i / QUANTILES for i in range(QUANTILES + 1)]
+    cells = F.greatest(F.lit(1), F.ceil(F.col("__n") / fraction / QUANTILES / piece_rows)).cast("int")
     hot = (
         sample.groupBy(*keys)
         .agg(F.count("*").alias("__n"), F.percentile_approx("__o", quantiles, 10_000).alias("__bounds"))
-        .where(F.col("__n") > floor)
-        .select(*keys, F.array_distinct("__bounds").alias("__bounds"))
+        .where(F.col("__n") > max(2, int(total * fraction * hot_share)))
+        .select(*keys, F.array_distinct("__bounds").alias("__bounds"), cells.alias("__cells"))
     )
-    rows = hot.collect()  # at most 1 / hot_share rows
-    if not rows:
-        return None
-    return Splits(df.sparkSession.createDataFrame(rows, hot.schema), tuple(keys))
+    return Splits(hot, tuple(keys))
 
 
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -194,25 +199,27 @@ def ordered_fold(
     Rows are shuffled by key, sorted inside the partition and streamed batch by batch with only
     the current key's state held, so no group is ever collected.  ``step(state, row)`` mutates
     the state and returns the output tuple.  Give safe restart points as an extra key to spread
-    one key over many tasks.
+    one key over many tasks. Values are exact: integers of 64 bits, None for null, dictionaries for structs.
     """
     keys, order = list(keys), list(order)
-    names = [part.strip().split()[0] for part in outputs.split(";")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    schema = f"{schema}, {', '.join(p.strip() for p in outputs.split(';'))}"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    added = StructType.fromDDL(", ".join(p.strip() for p in outputs.split(";")))
+    schema = StructType([*df.schema, *added])
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row_of = namedtuple("Row", names, rename=True)
+        at = [names.index(k) for k in keys]
+        kinds = [to_arrow_type(f.dataType) for f in added]
         current, state = object(), None
         for batch in batches:
             produced = []
-            key_rows = zip(*[batch[k] for k in keys])
-            for key, row in zip(key_rows, batch.itertuples(index=False)):
+            for values in zip(*[c.to_pylist() for c in batch.columns]):
+                key = tuple(values[i] for i in at)
                 if key != current:
                     current, state = key, start()
-                produced.append(step(state, row))
-            columns = list(zip(*produced)) if produced else [[] for _ in names]
-            for name, values in zip(names, columns):
-                batch[name] = pd.Series(list(values), index=batch.index, dtype=object)
-            yield batch
+                produced.append(step(state, row_of(*values)))
+            columns = zip(*produced) if produced else [[] for _ in kinds]
+            more = [pa.array(list(v), t) for v, t in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, *added.names])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

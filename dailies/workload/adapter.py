@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dailies.functions.arith import idiv
@@ -11,12 +11,12 @@ WORD_US, PAUSE_US, SPOKEN_US, PAUSE_EVERY = 400_000, 1_500_000, 300_000, 17
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """Read one table; a scan with fewer parts than cores (one small file) is dealt out once."""
-    df = spark.read.parquet(f"{d}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def clips(spark: SparkSession, d: str) -> int:
+    """Number of clips; stand-ins deal their rows out over all of them, so no clip's share grows with the tables."""
+    return max(1, table(spark, d, "documents").count())
 
 
 def word_start(pos: Column) -> Column:
@@ -79,8 +79,11 @@ TOTAL = "(6000000000 - (clip_id % 7) * 100000000)"
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    """Order lines as the shots of an edit; ``pos`` orders them inside their project."""
-    pos = F.col("l_linenumber").cast("bigint") * (1 << 50) + F.col("l_partkey") * (1 << 22) + F.col("l_suppkey")
+    """Order lines as the shots of an edit; ``pos`` numbers them inside their project, over all columns of a line."""
+    line = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"
+    )
+    pos = F.row_number().over(line).cast("bigint")
     in_us = (F.col("l_suppkey") % 10 * 1_000_000).cast("bigint")
     dur = (F.col("l_quantity") * 100_000).cast("bigint")
     return table(spark, d, "lineitem").select(
@@ -94,7 +97,8 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-SEGMENTS = """segments AS (SELECT l_orderkey AS project_id, l_linenumber::BIGINT * (1::BIGINT << 50) + l_partkey * (1::BIGINT << 22) + l_suppkey AS pos,
+SEGMENTS = """segments AS (SELECT l_orderkey AS project_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+  l_returnflag, l_linestatus, l_shipdate) AS pos,
   l_partkey AS clip_id, l_suppkey % 10 * 1000000 AS in_us, l_suppkey % 10 * 1000000 + CAST(l_quantity * 100000 AS BIGINT) AS out_us,
   CASE l_returnflag WHEN 'R' THEN 'xfade' WHEN 'A' THEN 'fade' ELSE 'cut' END AS transition,
   CASE WHEN l_returnflag IN ('R','A') THEN (l_partkey % 10) * 100000 ELSE 0 END AS transition_us,

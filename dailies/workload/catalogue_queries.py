@@ -8,7 +8,7 @@ from dailies.functions import rules
 from dailies.functions.text import slug
 from dailies.operators import catalogue as cat
 from dailies.operators import segment
-from dailies.workload.adapter import SEGMENTS, WORDS, segments, table, transcripts, words
+from dailies.workload.adapter import SEGMENTS, WORDS, clips, segments, table, transcripts, words
 from dailies.workload.interval_queries import ANALYSIS, analysis
 from dailies.workload.layout_queries import MUTES, PLACED, mutes, placed
 from dailies.workload.registry import query
@@ -85,19 +85,19 @@ def nearest_sentence_end(spark, d):
     return cat.nearest_sentence_end(pts, sentences(spark, d), "t_us")
 
 
-@query("first_seen_distinct", f"""WITH {WORDS}, k AS (SELECT project_id, lower(text) AS k, min_by(text, clip_id * 1048576 + pos) AS text, min(clip_id * 1048576 + pos) AS p FROM words GROUP BY ALL)
+@query("first_seen_distinct", f"""WITH {WORDS}, k AS (SELECT project_id, lower(text) AS k, min_by(text, [clip_id, pos]) AS text, min([clip_id, pos]) AS p FROM words GROUP BY ALL)
 SELECT project_id, text, row_number() OVER (PARTITION BY project_id ORDER BY p) AS n FROM k""")
 def first_seen_distinct(spark, d):
-    w = words(spark, d).select("project_id", "text", (F.col("clip_id") * 1_048_576 + F.col("pos")).alias("at"))
+    w = words(spark, d).select("project_id", "text", F.struct("clip_id", "pos").alias("at"))
     return cat.first_seen_distinct(w, ["project_id"], "text", "at")
 
 
 def title_of(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang", F.regexp_replace(F.substring("text", 1, 80), "\\s+", " ").alias("title"))
+    return table(spark, d, "documents").select("doc_id", "lang", F.regexp_replace("text", "\\s+", " ").alias("title"))
 
 
-# whole-table title and thumbnail texts: the record's own opening line
-TITLES = "t AS (SELECT doc_id, lang, regexp_replace(text[1:80], '\\s+', ' ', 'g') AS title FROM documents)"
+# titles and thumbnail texts are whole texts
+TITLES = "t AS (SELECT doc_id, lang, regexp_replace(text, '\\s+', ' ', 'g') AS title FROM documents)"
 B = "(?:^|[^\\p{L}\\p{N}_])"
 STOP = ", ".join(f"'{w}'" for w in rules.STOPWORDS)
 
@@ -115,11 +115,11 @@ def title_issues(spark, d):
     return t.select("doc_id", F.explode(rules.title_issues(F.col("title"))).alias("issue"))
 
 
-@query("thumbnail_text_issues", f"""WITH t AS (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')) AS x FROM documents), w AS (SELECT doc_id, x, string_split(x, ' ') AS ws FROM t)
+@query("thumbnail_text_issues", f"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM documents), w AS (SELECT doc_id, x, string_split(x, ' ') AS ws FROM t)
 SELECT doc_id, array_to_string(CASE WHEN x = '' THEN ['empty'] ELSE list_filter([CASE WHEN len(ws) > 5 THEN 'too_many_words' END, CASE WHEN length(x) > 30 THEN 'too_long' END, CASE WHEN list_max(list_transform(ws, lambda y: length(y))) > 14 THEN 'long_word' END,
  CASE WHEN regexp_matches(x, '[^\\p{{L}}\\p{{N}}\\s!?.,:''\\-–—&%€$]') THEN 'illegal_characters' END], lambda y: y IS NOT NULL) END, ',') AS issues FROM w""")
 def thumbnail_text_issues(spark, d):
-    line = F.trim(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), "\\s+", " "))
+    line = F.trim(F.regexp_replace("text", "\\s+", " "))
     return table(spark, d, "documents").select("doc_id", F.array_join(rules.thumbnail_issues(line), ",").alias("issues"))
 
 
@@ -137,18 +137,18 @@ def crop_origins(spark, d):
     return table(spark, d, "part").select("p_partkey", rules.crop_origin(pct, F.lit(1920).cast("bigint"), F.lit(608).cast("bigint")).alias("x"))
 
 
-@query("wrap_captions", f"""WITH RECURSIVE {SENT}, s AS (SELECT project_id, clip_id, n, string_split(text, ' ') AS w FROM sent WHERE n_words > 3),
+@query("wrap_captions", f"""WITH RECURSIVE {SENT}, s AS (SELECT project_id, clip_id, n, string_split(text, ' ') AS w FROM sent),
 f AS (SELECT project_id, clip_id, n, w, 1 AS i, w[1] AS cur, ''::VARCHAR AS line1 FROM s UNION ALL
  SELECT project_id, clip_id, n, w, i + 1, CASE WHEN line1 = '' AND length(cur || ' ' || w[i+1]) > 34 THEN w[i+1] ELSE cur || ' ' || w[i+1] END, CASE WHEN line1 = '' AND length(cur || ' ' || w[i+1]) > 34 THEN cur ELSE line1 END FROM f WHERE i < len(w))
 SELECT project_id, clip_id, n, CASE WHEN line1 = '' THEN cur ELSE line1 || chr(10) || cur END AS wrapped FROM f WHERE i = len(w)""")
 def wrap_captions(spark, d):
-    s = segment.split_sentences(transcripts(spark, d)).where("n_words > 3")
+    s = segment.split_sentences(transcripts(spark, d))
     return s.select(*CLIP, "n", rules.wrap_caption(F.col("text")).alias("wrapped"))
 
 
-@query("place_slugs", "SELECT doc_id, trim(regexp_replace(strip_accents(lower(text[1:60])), '[^0-9a-z]+', '-', 'g'), '-') AS slug FROM documents")
+@query("place_slugs", "SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^0-9a-z]+', '-', 'g'), '-') AS slug FROM documents")
 def place_slugs(spark, d):
-    return table(spark, d, "documents").select("doc_id", slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", slug(F.col("text")).alias("slug"))
 
 
 @query("fit_and_transition", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 3 = 0 THEN 'blur-fill' ELSE 'cover' END AS fit, CASE l_returnflag WHEN 'R' THEN 'xfade' WHEN 'A' THEN 'fade' ELSE 'cut' END AS transition, CASE WHEN l_returnflag IN ('R','A') THEN l_suppkey * 10000 ELSE 0 END AS length_us FROM lineitem""")
@@ -240,12 +240,12 @@ def boundary_flag_counts(spark, d):
     return b.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("boundaries"))
 
 
-@query("render_context", f"""WITH {WORDS}, q AS (SELECT o_orderkey AS query, o_orderkey % 1000 AS clip_id, o_custkey * 9973 AS at_us FROM orders),
+@query("render_context", f"""WITH {WORDS}, q AS (SELECT o_orderkey AS query, o_orderkey % (SELECT count(*) FROM documents) AS clip_id, o_custkey * 9973 AS at_us FROM orders),
 g AS (SELECT q.*, (SELECT max(e_us) FROM words w WHERE w.clip_id = q.clip_id AND e_us <= at_us + 50000) AS be, (SELECT min(s_us) FROM words w WHERE w.clip_id = q.clip_id AND s_us >= at_us - 50000) AS a_s,
  EXISTS (SELECT 1 FROM words w WHERE w.clip_id = q.clip_id AND s_us < at_us - 80000 AND e_us > at_us + 80000) AS chopped FROM q)
 SELECT query, clip_id, at_us, CASE WHEN be > at_us - 2500000 AND a_s < at_us + 2500000 THEN a_s - be END AS gap_us, chopped, coalesce(be > at_us - 2500000 AND a_s < at_us + 2500000 AND a_s - be < 350000, false) AS no_air FROM g""")
 def render_context(spark, d):
-    q = table(spark, d, "orders").select(F.col("o_orderkey").alias("query"), (F.col("o_orderkey") % 1000).alias("clip_id"), (F.col("o_custkey") * 9_973).alias("at_us"))
+    q = table(spark, d, "orders").select(F.col("o_orderkey").alias("query"), (F.col("o_orderkey") % clips(spark, d)).alias("clip_id"), (F.col("o_custkey") * 9_973).alias("at_us"))
     return cat.render_context(q, words(spark, d).select("clip_id", "s_us", "e_us"), ["clip_id"], "at_us")
 
 

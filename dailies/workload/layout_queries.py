@@ -8,7 +8,7 @@ from dailies.functions.arith import idiv
 from dailies.operators import checks, layout
 from dailies.operators.ordered import plan_splits
 from dailies.operators.segment import islands
-from dailies.workload.adapter import RANGES, SEGMENTS, WORDS, ranges, segments, table, words
+from dailies.workload.adapter import RANGES, SEGMENTS, WORDS, clips, ranges, segments, table, words
 from dailies.workload.interval_queries import merged_sql
 from dailies.workload.registry import query
 
@@ -90,13 +90,13 @@ def captions_in_programme(spark, d):
     return layout.words_on_segments(placed(spark, d), words(spark, d), heard=False)
 
 
-MUTES = "mutes AS (SELECT event_id % 500 AS clip_id, event_id AS mute, event_id % 9 * 1000000 AS s_us, event_id % 9 * 1000000 + (event_id % 31 + 1) * 77777 AS e_us FROM events)"
+MUTES = "mutes AS (SELECT event_id % (SELECT count(*) FROM documents) AS clip_id, event_id AS mute, event_id % 9 * 1000000 AS s_us, event_id % 9 * 1000000 + (event_id % 31 + 1) * 77777 AS e_us FROM events)"
 
 
 def mutes(spark, d):
     e = F.col("event_id")
     return table(spark, d, "events").select(
-        (e % 500).alias("clip_id"), e.alias("mute"), (e % 9 * 1_000_000).alias("s_us"), (e % 9 * 1_000_000 + (e % 31 + 1) * 77_777).alias("e_us")
+        (e % clips(spark, d)).alias("clip_id"), e.alias("mute"), (e % 9 * 1_000_000).alias("s_us"), (e % 9 * 1_000_000 + (e % 31 + 1) * 77_777).alias("e_us")
     )
 
 
@@ -134,16 +134,16 @@ def segments_around(spark, d):
     return layout.near_instant(probes(spark, d), items, P, "t_us", around_us=2_000_000).select("project_id", "probe", "t_us", "pos")
 
 
-@query("words_near", f"""WITH {WORDS}, q AS (SELECT o_orderkey AS query, o_orderkey % 1000 AS clip_id, o_custkey * 10000 AS t_us FROM orders)
+@query("words_near", f"""WITH {WORDS}, q AS (SELECT o_orderkey AS query, o_orderkey % (SELECT count(*) FROM documents) AS clip_id, o_custkey * 10000 AS t_us FROM orders)
 SELECT query, q.clip_id, t_us, w.pos, w.text FROM q JOIN words w ON w.clip_id = q.clip_id AND w.s_us <= t_us + 1000000 AND w.e_us >= t_us - 1000000""")
 def words_near(spark, d):
-    q = table(spark, d, "orders").select(F.col("o_orderkey").alias("query"), (F.col("o_orderkey") % 1000).alias("clip_id"), (F.col("o_custkey") * 10_000).alias("t_us"))
+    q = table(spark, d, "orders").select(F.col("o_orderkey").alias("query"), (F.col("o_orderkey") % clips(spark, d)).alias("clip_id"), (F.col("o_custkey") * 10_000).alias("t_us"))
     w = words(spark, d).select("clip_id", "pos", "s_us", "e_us", "text")
     return layout.near_instant(q, w, ["clip_id"], "t_us", around_us=1_000_000).select("query", "clip_id", "t_us", "pos", "text")
 
 
 GEO = """beats AS (SELECT clip_id, i // 9 AS beat, min(s_us) AS first_us, max(e_us) AS last_us, max(n) * 490000 + 800000 AS dur_us FROM (SELECT *, pos AS i, max(pos) OVER (PARTITION BY clip_id) AS n FROM words) WHERE i % 9 BETWEEN 2 AND 6 GROUP BY ALL),
-prot AS (SELECT event_id % 500 AS clip_id, event_id AS pid, event_id % 97 * 400000 AS s_us, event_id % 97 * 400000 + 700000 AS e_us FROM events)"""
+prot AS (SELECT event_id % (SELECT count(*) FROM documents) AS clip_id, event_id AS pid, event_id % 97 * 400000 AS s_us, event_id % 97 * 400000 + 700000 AS e_us FROM events)"""
 
 
 def spoken_beats(spark, d):
@@ -153,7 +153,7 @@ def spoken_beats(spark, d):
         F.min("s_us").alias("first_us"), F.max("e_us").alias("last_us")
     )
     e = F.col("event_id")
-    prot = table(spark, d, "events").select((e % 500).alias("clip_id"), (e % 97 * 400_000).alias("s_us"), (e % 97 * 400_000 + 700_000).alias("e_us"))
+    prot = table(spark, d, "events").select((e % clips(spark, d)).alias("clip_id"), (e % 97 * 400_000).alias("s_us"), (e % 97 * 400_000 + 700_000).alias("e_us"))
     return part.join(doc, "clip_id"), w, prot
 
 
@@ -283,12 +283,12 @@ def continuous_audio_runs(spark, d):
     return islands(segs, P, ["pos"], fresh, lags).groupBy("project_id", "run").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 
-@query("contiguous_id_runs", f"""WITH {SEGMENTS}, s AS (SELECT project_id, pos, clip_id % 2 AS clip, pos // 4194304 % 6 AS n FROM segments),
+@query("contiguous_id_runs", f"""WITH {SEGMENTS}, s AS (SELECT project_id, pos, clip_id % 2 AS clip, clip_id // 2 % 6 AS n FROM segments),
 l AS (SELECT *, lag(clip) OVER w AS pc, lag(n) OVER w AS pn FROM s WINDOW w AS (PARTITION BY project_id ORDER BY pos)),
 f AS (SELECT *, sum(CASE WHEN pc = clip AND n = pn + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY project_id ORDER BY pos) AS run FROM l)
 SELECT project_id, run::BIGINT AS run, clip, min(n) AS first_n, max(n) AS last_n FROM f GROUP BY ALL""")
 def contiguous_id_runs(spark, d):
-    s = segments(spark, d).select("project_id", "pos", (F.col("clip_id") % 2).alias("clip"), (idiv("pos", 4_194_304) % 6).alias("n"))
+    s = segments(spark, d).select("project_id", "pos", (F.col("clip_id") % 2).alias("clip"), (idiv("clip_id", 2) % 6).alias("n"))
     fresh = ~((F.col("pc") == F.col("clip")) & (F.col("n") == F.col("pn") + 1))
     runs = islands(s, P, ["pos"], fresh, {"pc": F.col("clip"), "pn": F.col("n")})
     return runs.groupBy("project_id", "run", "clip").agg(F.min("n").alias("first_n"), F.max("n").alias("last_n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dailies.functions.arith import idiv
 from dailies.operators import ledger, media
 from dailies.operators.ordered import plan_splits
-from dailies.workload.adapter import RANGES, WORDS, ranges, table, words
+from dailies.workload.adapter import RANGES, WORDS, clips, ranges, table, words
 from dailies.workload.interval_queries import merged_sql
 from dailies.workload.registry import query
 
@@ -145,13 +145,13 @@ def variable_rate(spark, d):
     return media.variable_rate(ranges(spark, d).select("clip_id", F.col("s_us").alias("pts_us")))
 
 
-BLOCKS = "blocks AS (SELECT event_id % 300 AS clip_id, (event_id // 300) * 137000 AS s_us, CAST(round(value * 100) AS BIGINT) AS sum_sq, 1000000 AS n FROM events)"
+BLOCKS = "blocks AS (SELECT event_id % (SELECT count(*) FROM documents) AS clip_id, (event_id // (SELECT count(*) FROM documents)) * 137000 AS s_us, CAST(round(value * 100) AS BIGINT) AS sum_sq, 1000000 AS n FROM events)"
 
 
 def blocks(spark, d):
-    e = F.col("event_id")
+    e, n = F.col("event_id"), clips(spark, d)
     return table(spark, d, "events").select(
-        (e % 300).alias("clip_id"), (idiv(e, 300) * 137_000).alias("s_us"), F.round(F.col("value") * 100).cast("bigint").alias("sum_sq"), F.lit(1_000_000).cast("bigint").alias("n")
+        (e % n).alias("clip_id"), (idiv(e, n) * 137_000).alias("s_us"), F.round(F.col("value") * 100).cast("bigint").alias("sum_sq"), F.lit(1_000_000).cast("bigint").alias("n")
     )
 
 
@@ -178,8 +178,8 @@ def noise_classes(spark, d):
 
 @query("low_band_ratio")
 def low_band_ratio(spark, d):
-    e = F.col("event_id")
-    samples = table(spark, d, "events").select((e % 40).alias("clip_id"), idiv(e, 40).alias("pos"), F.col("value").alias("x"))
+    e, n = F.col("event_id"), clips(spark, d)
+    samples = table(spark, d, "events").select((e % n).alias("clip_id"), idiv(e, n).alias("pos"), F.col("value").alias("x"))
     return media.low_band_ratio(samples, ["clip_id"], rate=1000, max_s=20.0)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dailies.functions.arith import idiv
 from dailies.operators import layout, resolve
 from dailies.operators.ordered import plan_splits
-from dailies.workload.adapter import RANGES, SEGMENTS, WORDS, ranges, segments, table, words
+from dailies.workload.adapter import RANGES, SEGMENTS, WORDS, clips, ranges, segments, table, words
 from dailies.workload.interval_queries import A_SIDE, B_SIDE, merged_sql, split_sides
 from dailies.workload.layout_queries import CAPS, PLACED, SPANS, captions, placed
 from dailies.workload.registry import query
@@ -90,7 +90,7 @@ def place_music(spark, d):
     return resolve.place_music(c, layout.beat_spans(placed(spark, d)))
 
 
-CHOSEN = "ch AS (SELECT user_id AS project_id, event_id AS pos, (event_id // 40) % 200 AS clip_id, 1 + event_id % 40 // 2 AS n FROM events)"
+CHOSEN = "ch AS (SELECT user_id AS project_id, event_id AS pos, (event_id // 40) % (SELECT count(*) FROM documents) AS clip_id, 1 + event_id % 40 // 2 AS n FROM events)"
 
 
 @query("plan_speech_beats", f"""WITH {SENT}, {CHOSEN}, u AS (SELECT ch.project_id, ch.clip_id, ch.n, min(pos) AS pos FROM ch JOIN sent s ON s.clip_id = ch.clip_id AND s.n = ch.n AND (s.clip_id + s.n) % 11 <> 0 GROUP BY ALL),
@@ -98,7 +98,7 @@ l AS (SELECT *, lag(clip_id) OVER w AS pc, lag(n) OVER w AS pn FROM u WINDOW w A
 SELECT project_id, beat::BIGINT AS beat, clip_id, min(n) AS first_n, max(n) AS last_n, count(*) AS sentences FROM r GROUP BY ALL""")
 def plan_speech_beats(spark, d):
     e = F.col("event_id")
-    chosen = table(spark, d, "events").select(F.col("user_id").alias("project_id"), e.alias("pos"), (idiv(e, 40) % 200).alias("clip_id"), (idiv(e % 40, 2) + 1).cast("int").alias("n"))
+    chosen = table(spark, d, "events").select(F.col("user_id").alias("project_id"), e.alias("pos"), (idiv(e, 40) % clips(spark, d)).alias("clip_id"), (idiv(e % 40, 2) + 1).cast("int").alias("n"))
     return resolve.plan_speech_beats(chosen, sentences(spark, d))
 
 

@@ -48,7 +48,7 @@ def skewed(spark):
 
 def test_hot_key_windows_equal_plain_ones(spark, skewed):
     df = spark.createDataFrame(skewed, "k long, i long, s_us long, e_us long").repartition(5)
-    splits = plan_splits(df, ["k"], "s_us", min_rows=0, hot_share=0.1, pieces=16)
+    splits = plan_splits(df, ["k"], "s_us", hot_share=0.1, piece_rows=5)
     assert splits is not None and splits.bounds.count() == 1
     maybe = F.when(F.col("i") % 3 == 0, F.col("i"))
     specs = {
