@@ -12,10 +12,11 @@ GRAM = 5
 
 
 def _fingerprints(rows: DataFrame, span: int, sentinel: bool) -> DataFrame:
-    """Explode ``words`` into fingerprints (at, fp): the rightmost smallest gram hash of each window of ``span`` words.
+    """Explode ``words`` into fingerprints (j, fp): the smallest gram hash of the windows of ``span`` words from j on.
 
-    Every run of ``span`` words that two texts share gives the same hash at the same place of the run. A gram that
-    several neighbouring windows choose comes once. With ``sentinel`` each row also gives one row with at = -1.
+    Every run of ``span`` words that two texts share gives the same hash. A hash that several neighbouring windows
+    choose comes once for up to as many windows as hold one gram, so the window of a hit starts at j or shortly
+    after. With ``sentinel`` each row also gives one row with j = -1.
     """
     gram = min(GRAM, span)
     width = span - gram + 1
@@ -37,15 +38,9 @@ def _fingerprints(rows: DataFrame, span: int, sentinel: bool) -> DataFrame:
         got = [F.get("grams", F.col("j") + k + shift) for k in range(width)]
         return F.least(*got) if width > 1 else got[0]
 
-    def place(value: str, shift: int) -> Column:
-        out = F.col("j") + shift
-        for k in range(1, width):
-            out = F.when(F.get("grams", F.col("j") + k + shift) == F.col(value), F.col("j") + k + shift).otherwise(out)
-        return out
-
-    rows = rows.withColumn("fp", F.when(F.col("j") >= 0, low(0))).withColumn("fp0", F.when(F.col("j") >= 1, low(-1)))
-    rows = rows.withColumn("at", F.when(F.col("j") < 0, -1).otherwise(place("fp", 0))).withColumn("at0", F.when(F.col("j") >= 1, place("fp0", -1)).otherwise(-1))
-    return rows.filter((F.col("j") <= 0) | (F.col("at") != F.col("at0"))).select(*keep, "n", "at", "fp")
+    here = rows.withColumn("fp", low(0))
+    new = (F.col("j") <= 0) | (F.col("j") % width == 0) | (F.col("fp") != low(-1))
+    return here.filter(new).select(*keep, "n", "j", "fp")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, keys: bool = False) -> DataFrame:
@@ -75,10 +70,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, keys: b
     n_prints = prints.count()
     found = None
     for s in {span, *lengths}:
-        mine = _fingerprints(rows, s, s == span).withColumn("fp", F.coalesce(F.col("fp"), F.xxhash64("doc_id", "h")))
+        mine = _fingerprints(rows, s, s == span).withColumn("fp", F.when(F.col("j") >= 0, F.col("fp")).otherwise(F.xxhash64("doc_id", "h")))
         hit = sized(prints.filter(F.col("s") == s).select(F.col("fp").alias("print")), n_prints)
-        part = mine.join(hit, mine["fp"] == hit["print"], "left").filter((F.col("at") < 0) | F.col("print").isNotNull())
-        part = part.select("doc_id", "h", "n", F.when(F.col("at") >= 0, F.struct(F.lit(s).alias("s"), "at")).alias("hit"))
+        part = mine.join(hit, mine["fp"] == hit["print"], "left").filter((F.col("j") < 0) | F.col("print").isNotNull())
+        part = part.select("doc_id", "h", "n", F.when(F.col("j") >= 0, F.struct(F.lit(s).alias("s"), "j")).alias("hit"))
         found = part if found is None else found.unionByName(part)
     base = materialize(
         found.groupBy("doc_id", "h").agg(F.max("n").alias("n"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("copies"), F.collect_set("hit").alias("hits"))
@@ -87,12 +82,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, keys: b
     suspects = base.filter(F.size("hits") > 0).select("doc_id", "h", "hits")
     texts = keyed(docs)
     texts = join_keyed(texts, suspects).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "hits", word_array(F.col("text")).alias("words"))
+    # up to the windows that hold one gram with the first one; none begins after the last whole window
     reach = F.transform(
-        "hits",
-        lambda x: F.transform(
-            F.sequence(F.greatest(F.lit(0), x["at"] - (x["s"] - F.least(x["s"], F.lit(GRAM)))), F.greatest(F.lit(0), F.least(x["at"], F.size("words") - x["s"]))),
-            lambda j: F.struct(x["s"].alias("s"), j.alias("start")),
-        ),
+        "hits", lambda x: F.transform(F.sequence(x["j"], F.least(x["j"] + x["s"] - F.least(x["s"], F.lit(GRAM)), F.size("words") - x["s"])), lambda j: F.struct(x["s"].alias("s"), j.alias("start")))
     )
     tried = texts.select("doc_id", "h", "words", F.explode(F.array_distinct(F.flatten(reach))).alias("w"))
     tried = tried.select("doc_id", "h", "w.s", "w.start", F.array_join(F.expr("slice(words, w.start + 1, w.s)"), " ").alias("window"))
