@@ -12,8 +12,9 @@ INSTRUCTION_PATTERNS = {
     "pl": ["^to\\s+wstaw", "^to\\s+na\\b", "^u[żz]yj", "^wytnij", "^to\\s+wytnij", "^to\\s+wykorzystaj", "^to\\s+jako\\b"],
     "en": ["^insert\\s+this", "^use\\s+this\\s+(?:as|for)", "^cut\\s+this", "^discard\\s+this"],
 }
-ENDING_GUARD = (
-    "(?i)dzi[eę]k(?:i|uj[eę])\\s+za\\s+ogl[aą]danie|do\\s+zobaczenia|na\\s+tym\\s+ko[nń]czymy|do\\s+nast[eę]pnego"
+ENDING_GUARD = "(?iu)dzięki\\s+za\\s+ogl[ąa]danie|dzieki\\s+za\\s+ogl[ąa]danie|do\\s+zobaczenia|na\\s+tym\\s+koń?cz[yę]m[ye]|do\\s+usłyszenia"
+PLAN_ENDING_GUARD = (
+    "(?iu)dzi[eę]k(?:i|uj[eę])\\s+za\\s+ogl[aą]danie|do\\s+zobaczenia|na\\s+tym\\s+ko[nń]czymy|do\\s+nast[eę]pnego"
     "|trzymajcie\\s+si[eę]|thanks?\\s+for\\s+watching|see\\s+you\\s+(?:next|soon)"
 )
 AROLL_ROLE = "(?i)a-?roll|narration|talking|piece-to-camera|ptc"

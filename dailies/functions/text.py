@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,18 +24,22 @@ LANGUAGES = {
 }
 
 
-def _fold_table() -> tuple[str, str]:
-    """Latin letters whose compatibility decomposition is one ASCII letter, from Unicode data."""
-    src, dst = [], []
-    for code in chain(range(0xC0, 0x250), range(0x1E00, 0x1F00)):
-        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code).lower()) if not unicodedata.combining(c))
-        if len(bare) == 1 and bare.isascii() and bare.isalnum():
+def _fold_table() -> tuple[str, str, dict[str, str]]:
+    """Letters and signs whose compatibility decomposition has ASCII letters or digits, from Unicode data: those that become one, and the others."""
+    src, dst, many = [], [], {}
+    for code in range(0xA0, 0x20000):
+        if not unicodedata.decomposition(chr(code)):
+            continue
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)).lower() if c.isascii() and c.isalnum())
+        if len(bare) == 1:
             src.append(chr(code))
             dst.append(bare)
-    return "".join(src), "".join(dst)
+        elif bare:
+            many[chr(code)] = bare
+    return "".join(src), "".join(dst), many
 
 
-FOLD_FROM, FOLD_TO = _fold_table()
+FOLD_FROM, FOLD_TO, FOLD_MANY = _fold_table()
 
 
 def literal_map(values: dict[str, str]) -> Column:
@@ -48,7 +51,10 @@ def lookup(values: dict[str, str], key: Column) -> Column:
 
 
 def ascii_fold(text: Column) -> Column:
-    return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
+    """Lower case with letters and signs in their plain ASCII form; rare ones that become several letters take a map."""
+    spread = F.array_join(F.transform(F.split(F.lower(text), ""), lambda c: F.coalesce(lookup(FOLD_MANY, c), c)), "")
+    several = text.rlike("[" + "".join(FOLD_MANY) + "]")
+    return F.translate(F.when(several, spread).otherwise(F.lower(text)), FOLD_FROM, FOLD_TO)
 
 
 def fold_token(text: Column) -> Column:

@@ -153,7 +153,7 @@ def match_styles(requests: DataFrame, styles: DataFrame, *, fallback: str) -> Da
     )
 
 
-def cut_boundaries(placed: DataFrame, words: DataFrame, *, fps: int = 30, inside_us: int = 20_000, replay_us: int = 0) -> DataFrame:
+def cut_boundaries(placed: DataFrame, words: DataFrame, *, fps: int = 30, inside_us: int = 20_000, replay_us: int = 50_000) -> DataFrame:
     """Audio boundaries between neighbouring segments: last and first word, margins, cut-through words."""
     specs = {f"b_{c}": ("lead", F.col(c)) for c in ("pos", "clip_id", "in_us", "out_us", "muted")}
     lined = running(placed, ["project_id"], ["pos"], specs).where(F.col("b_pos").isNotNull())

@@ -168,23 +168,30 @@ def tight_joins(beats: DataFrame, *, min_air_us: int = 350_000, splits: Splits |
 def voice_shots(shots: DataFrame, *, splits: Splits | None = None) -> DataFrame:
     """Shots under a narration: chained from 0, cut at its length, the last stretched over the rest.
 
-    Input: project_id, beat, pos, in_us, out_us, length_us (narration), clip_us (footage length).
-    The last visible shot is stretched when its footage allows, otherwise flagged ``short``.
+    Input: project_id, beat, pos, in_us, out_us, length_us (narration), clip_us (footage length). The last visible
+    shot is stretched only if its footage covers all that is missing; else the beat has no pieces (see
+    ``uncovered_voice``).
     """
+    laid, bad = _voice_layout(shots, splits)
+    return laid.join(bad.select("project_id", "beat"), ["project_id", "beat"], "left_anti").select("project_id", "beat", "pos", "at_us", "in_us", "out_us")
+
+
+def uncovered_voice(shots: DataFrame, *, splits: Splits | None = None) -> DataFrame:
+    """Narrated beats whose shots, even stretched, end before the narration: project_id, beat, missing_us."""
+    return _voice_layout(shots, splits)[1]
+
+
+def _voice_layout(shots: DataFrame, splits: Splits | None) -> tuple[DataFrame, DataFrame]:
     keys = ["project_id", "beat"]
     dur = F.col("out_us") - F.col("in_us")
     lined = running(shots, keys, ["pos"], {"__end": ("sum", dur)}, splits)
     lined = lined.withColumn("at_us", F.col("__end") - dur).where(F.col("at_us") < F.col("length_us"))
     lined = running(lined, keys, ["pos"], {"__next": ("lead", F.col("pos"))}, splits)
-    is_last = F.col("__next").isNull()
     want = F.col("in_us") + F.col("length_us") - F.col("at_us")
-    stretched = F.least(want, "clip_us")
-    out = F.when(is_last, F.when(F.col("__end") >= F.col("length_us"), want).otherwise(F.greatest("out_us", stretched))).otherwise(F.col("out_us"))
-    cut = lined.withColumn("new_out", out)
-    return cut.select(
-        *keys, "pos", "at_us", "in_us", F.col("new_out").alias("out_us"),
-        (is_last & (F.col("at_us") + F.col("new_out") - F.col("in_us") < F.col("length_us"))).alias("short"),
-    )
+    last = F.col("__next").isNull()
+    lacking = F.when(last & (F.col("__end") < F.col("length_us")) & (want > F.col("clip_us")), F.col("length_us") - F.col("__end"))
+    laid = lined.withColumn("missing_us", lacking).withColumn("out_us", F.when(last, want).otherwise(F.col("out_us")))
+    return laid, laid.where(F.col("missing_us").isNotNull()).select(*keys, "missing_us")
 
 
 def clip_first_use(segments: DataFrame, *, splits: Splits | None = None) -> DataFrame:

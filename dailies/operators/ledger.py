@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dailies.functions.arith import round_div
 from dailies.operators.ordered import Splits, ordered_fold, running
+from dailies.session import materialize
 
 
 def cost_summary(costs: DataFrame) -> DataFrame:
@@ -49,10 +50,14 @@ def admit_charges(
     A refused charge does not count, so a running sum alone is wrong after the first refusal.  Each
     round settles what can be settled in parallel: charges whose running sum fits are accepted
     (sums only grow), and later ones above what is then left are refused (the rest only shrinks).
-    The few undecided charges go through a streamed fold, which is exact.
+    The few undecided charges go through a streamed fold, which is exact. Keys with a credit (a negative charge) or
+    with several caps are folded from the start, as sums prove nothing there.
     """
     keys, order = list(keys), list(order)
-    todo = charges.withColumn("__base", F.lit(0).cast("bigint"))
+    start = charges.withColumn("__base", F.lit(0).cast("bigint"))
+    odd = charges.groupBy(*keys).agg(F.min("usd_micro").alias("__low"), F.min("cap_micro").alias("__c0"), F.max("cap_micro").alias("__c1"))
+    odd = materialize(odd.where((F.col("__low") < 0) | (F.col("__c0") != F.col("__c1"))).select(*keys))
+    todo, whole = start.join(odd, keys, "left_anti"), start.join(odd, keys, "left_semi")
     settled = []
     for _ in range(rounds):
         summed = running(todo, keys, order, {"__run": ("sum", F.col("usd_micro"))}, splits)
@@ -63,7 +68,7 @@ def admit_charges(
         rest = rest.withColumn("__base", F.coalesce("__spent", "__base"))
         over = F.col("__base") + F.col("usd_micro") > F.col("cap_micro")
         settled.append(rest.where(over).select(*charges.columns, F.lit(False).alias("accepted")))
-        todo = rest.where(~over).select(*charges.columns, "__base")
+        todo = materialize(rest.where(~over).select(*charges.columns, "__base"))
 
     def step(state, row):
         if state["spent"] is None:
@@ -73,6 +78,7 @@ def admit_charges(
             state["spent"] += row.usd_micro
         return (bool(ok),)
 
+    todo = todo.unionByName(whole)
     folded = ordered_fold(todo.withColumnRenamed("__base", "base"), keys, order, lambda: {"spent": None}, step, "accepted boolean")
     out = folded.select(*charges.columns, "accepted")
     for part in settled:

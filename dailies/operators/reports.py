@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dailies.functions.arith import idiv
-from dailies.functions.rules import ENDING_GUARD
+from dailies.functions.rules import ENDING_GUARD, PLAN_ENDING_GUARD
 from dailies.operators.dedupe import drop_stutters
 from dailies.operators.intervals import merge_ranges, subtract_ranges
 from dailies.operators.joins import asof_join, interval_join
@@ -149,6 +149,17 @@ def ending_guard(cues: DataFrame, totals: DataFrame, *, tail_us: int = 3_000_000
     return said.withColumn("phrase", F.regexp_extract("said", f"({ENDING_GUARD})", 1)).where(F.col("phrase") != "").select("project_id", "phrase")
 
 
+def plan_endings(captions: DataFrame, totals: DataFrame, notes: DataFrame, *, tail_us: int = 5_000_000) -> DataFrame:
+    """Wrap-up phrases that a plan holds in its last seconds: in captions that end there, or in the notes of its last segment.
+
+    ``notes``: project_id, item, text of each project's last segment. One row for each place with a phrase.
+    """
+    late = captions.join(totals, P).where(F.col("e_us") >= F.col("total_us") - tail_us).select("project_id", F.lit("caption").alias("place"), "item", "text")
+    said = late.unionByName(notes.select("project_id", F.lit("notes").alias("place"), "item", "text"))
+    phrase = F.regexp_extract(F.coalesce("text", F.lit("")), f"({PLAN_ENDING_GUARD})", 1)
+    return said.withColumn("phrase", phrase).where(F.col("phrase") != "").select("project_id", "place", "item", "phrase")
+
+
 def file_conformance(probes: DataFrame, *, codec: str = "h264", pix_fmt: str = "yuv420p", width: int = 1920, height: int = 1080, fps: int = 30) -> DataFrame:
     """Every rule a rendered file breaks."""
     c = F.col

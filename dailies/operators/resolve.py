@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dailies.functions.arith import idiv
 from dailies.operators.intervals import subtract_ranges
-from dailies.operators.joins import interval_join
+from dailies.operators.joins import asof_join, interval_join
 from dailies.operators.ordered import Splits, ordered_fold, running
 
 P = ["project_id"]
@@ -182,12 +184,17 @@ def plan_broll(spans: DataFrame, blocked: DataFrame, *, least_us: int = 800_000,
     return subtract_ranges(spans, blocked, ["clip_id"], "item", splits=splits).where(F.col("e_us") - F.col("s_us") >= least_us)
 
 
-def plan_captions(captions: DataFrame, *, least_us: int = 400_000, gap_us: int = 50_000, splits: Splits | None = None) -> DataFrame:
-    """Captions clamped to the programme, an earlier card ended just before the next; under 0.4 s dropped."""
-    c = captions.select("project_id", "item", "subtitle", F.greatest("s_us", F.lit(0)).alias("s_us"), F.least("e_us", "total_us").alias("e_us"))
-    c = c.where(F.col("e_us") - F.col("s_us") >= least_us)
+def plan_captions(captions: DataFrame, *, least_us: int = 400_000, gap_us: int = 50_000, default_us: int = 2_500_000, splits: Splits | None = None) -> DataFrame:
+    """Captions clamped to the programme; a card that still stands when the next begins ends just before it.
+
+    A card without an end lasts ``default_us``; what is shorter than ``least_us`` in the programme is dropped, and a
+    card is never trimmed below that.
+    """
+    start = F.greatest("s_us", F.lit(0))
+    c = captions.select("project_id", "item", "subtitle", start.alias("s_us"), F.when(F.coalesce("e_us", F.lit(0)) <= start, start + default_us).otherwise(F.col("e_us")).alias("e_us"), "total_us")
+    c = c.withColumn("e_us", F.least("e_us", "total_us")).where(F.col("e_us") - F.col("s_us") >= least_us).drop("total_us")
     lined = running(c, P, ["s_us", "item"], {"__n": ("lead", F.col("s_us"))}, splits)
-    end = F.when(~F.col("subtitle") & (F.col("e_us") > F.col("__n") - gap_us), F.greatest(F.col("__n") - gap_us, F.col("s_us"))).otherwise(F.col("e_us"))
+    end = F.when(~F.col("subtitle") & (F.col("__n") < F.col("e_us")), F.greatest(F.col("__n") - gap_us, F.col("s_us") + least_us)).otherwise(F.col("e_us"))
     return lined.select("project_id", "item", "s_us", end.alias("e_us"))
 
 
@@ -210,17 +217,20 @@ def accept_music(cues: DataFrame, *, least_us: int = 5_000_000, splits: Splits |
     return ordered_fold(lined, ["project_id", "island"], ["s_us", "item"], lambda: {"end": 0}, step, "accepted boolean; at_us bigint").drop("island")
 
 
-def thin_chapters(chapters: DataFrame, *, apart_us: int = 10_000_000, tail_us: int = 10_000_000, splits: Splits | None = None) -> DataFrame:
-    """Chapters at least ten seconds after the last kept one and before the last ten seconds.
+def thin_chapters(chapters: DataFrame, beats: DataFrame, *, apart_us: int = 10_000_000, tail_us: int = 10_000_000, splits: Splits | None = None) -> DataFrame:
+    """Chapters (project_id, item, at_us, total_us) on the beats (project_id, beat, start_us) that play at their times.
 
-    A chapter that far from the one before it is kept whatever happened earlier, so the walk
-    restarts there.
+    The start of the beat counts: one chapter for each beat (the earliest), none in the last ten seconds, each at
+    least ten seconds after the last kept one; the first is moved to the project's first beat. A start that far from
+    the one before it is kept whatever happened earlier, so the walk restarts there.
     """
-    c = chapters.where(F.col("s_us") <= F.greatest(F.col("total_us") - tail_us, F.lit(0)))
-    c = c.groupBy("project_id", "s_us").agg(F.min("item").alias("item"))
+    at = chapters.withColumn("at_us", F.greatest("at_us", F.lit(0)))
+    c = asof_join(at, beats.select("project_id", F.col("start_us").alias("s_us"), "beat"), P, "at_us", "s_us", ["s_us", "beat"], splits=splits)
+    c = c.where(F.col("s_us") <= F.greatest(F.col("total_us") - tail_us, F.lit(0)))
+    c = c.groupBy("project_id", "s_us").agg(F.min(F.struct("at_us", "item")).alias("first"), F.max("beat").alias("beat")).select("project_id", "s_us", "beat", "first.item")
     lined = running(c, P, ["s_us"], {"__p": ("lag", F.col("s_us"))}, splits)
     lined = lined.withColumn("__new", F.when(F.col("s_us") - F.col("__p") < apart_us, 0).otherwise(1).cast("bigint"))
-    lined = running(lined, P, ["s_us"], {"island": ("sum", F.col("__new"))}, splits).select("project_id", "island", "s_us", "item")
+    lined = running(lined, P, ["s_us"], {"island": ("sum", F.col("__new"))}, splits).select("project_id", "island", "s_us", "beat", "item")
 
     def step(state, row):
         keep = state["last"] is None or row.s_us - state["last"] >= apart_us
@@ -228,27 +238,42 @@ def thin_chapters(chapters: DataFrame, *, apart_us: int = 10_000_000, tail_us: i
             state["last"] = int(row.s_us)
         return (keep,)
 
-    return ordered_fold(lined, ["project_id", "island"], ["s_us"], lambda: {"last": None}, step, "kept boolean").where("kept").select("project_id", "item", "s_us")
+    kept = ordered_fold(lined, ["project_id", "island"], ["s_us"], lambda: {"last": None}, step, "kept boolean").where("kept")
+    opening = beats.groupBy("project_id").agg(F.min_by("beat", F.struct("start_us", "beat")).alias("__b"))
+    leading = kept.groupBy("project_id").agg(F.min("s_us").alias("__s"))
+    kept = kept.join(leading, P).join(opening, P)
+    return kept.select("project_id", "item", F.when(F.col("s_us") == F.col("__s"), F.col("__b")).otherwise(F.col("beat")).alias("beat"))
 
 
-def plan_markers(totals: DataFrame, template: DataFrame) -> DataFrame:
-    """Template times (negative ones from the end) that fall inside each programme, one per instant.
+def template_times(totals: DataFrame, template: Sequence[tuple[str, int]]) -> DataFrame:
+    """Times of the configured marks (negative ones from the end) that fall inside each programme: project_id, label, t_us."""
+    marks = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(at).cast("bigint").alias("at_us")) for label, at in template])
+    t = totals.select("project_id", "total_us", F.inline(marks))
+    at = F.when(F.col("at_us") < 0, F.col("total_us") + F.col("at_us")).otherwise(F.col("at_us"))
+    return t.withColumn("t_us", at).where((F.col("t_us") >= 0) & (F.col("t_us") <= F.col("total_us"))).select("project_id", "label", "t_us")
 
-    The template is a handful of configured rows, joined by a constant key.
+
+def plan_markers(totals: DataFrame, beats: DataFrame, template: Sequence[tuple[str, int]], *, cta: str = "subscribe-cta", splits: Splits | None = None) -> DataFrame:
+    """Configured marks and the call to action pinned to the beats that play at their times, once for each beat and label.
+
+    ``totals``: project_id, total_us, cta_us (null or not positive: 30 % of the programme, to a tenth of a second).
     """
-    t = totals.withColumn("__k", F.lit(1)).join(template.withColumn("__k", F.lit(1)), "__k")
-    at = F.when(F.col("at_us") < 0, F.col("total_us") + F.col("at_us")).otherwise(F.col("at_us"))
-    return t.withColumn("t_us", at).where((F.col("t_us") >= 0) & (F.col("t_us") <= F.col("total_us"))).groupBy("project_id", "t_us").agg(F.min("label").alias("label"))
+    usual = F.bround(F.col("total_us") * 0.3 / 100_000).cast("bigint") * 100_000
+    at = F.when(F.col("cta_us") > 0, F.col("cta_us")).otherwise(usual)
+    call = totals.select("project_id", "total_us", F.lit(cta).alias("label"), at.alias("t_us")).where((F.col("t_us") > 0) & (F.col("t_us") < F.col("total_us"))).drop("total_us")
+    marks = template_times(totals, template).unionByName(call)
+    found = asof_join(marks, beats.select("project_id", F.col("start_us").alias("s_us"), "beat"), P, "t_us", "s_us", ["beat"], splits=splits)
+    return found.where(F.col("beat").isNotNull()).select("project_id", "beat", "label").distinct()
 
 
-def missing_markers(totals: DataFrame, template: DataFrame, markers: DataFrame, *, tolerance_us: int = 5_000_000) -> DataFrame:
+def missing_markers(totals: DataFrame, template: Sequence[tuple[str, int]], markers: DataFrame, *, tolerance_us: int = 5_000_000) -> DataFrame:
     """Template marks with no marker of that label and none within five seconds."""
-    want = plan_markers(totals, template)
+    want = template_times(totals, template)
     near = interval_join(
         want.withColumns({"__a": F.col("t_us") - tolerance_us, "__z": F.col("t_us") + tolerance_us + 1}),
         markers.select("project_id", F.col("t_us").alias("m_us"), (F.col("t_us") + 1).alias("m_e")), P, ("__a", "__z"), ("m_us", "m_e"),
-    ).select("project_id", "t_us").distinct()
-    return want.join(near, ["project_id", "t_us"], "left_anti").join(markers.select("project_id", "label"), ["project_id", "label"], "left_anti")
+    ).select("project_id", "label", "t_us").distinct()
+    return want.join(near, ["project_id", "label", "t_us"], "left_anti").join(markers.select("project_id", "label"), ["project_id", "label"], "left_anti")
 
 
 def absorb_broll(beats: DataFrame, *, splits: Splits | None = None) -> DataFrame:

@@ -226,7 +226,7 @@ la AS (SELECT e.project_id, e.pos, max_by(struct_pack(t := w.text, s := w.s_us,
 fb AS (SELECT e.project_id, e.pos, min_by(struct_pack(t := w.text, s := w.s_us, e := w.e_us), w.s_us) AS b FROM e JOIN words w ON NOT e.b_muted AND w.clip_id = e.b_clip AND w.s_us < e.b_out AND w.e_us > e.b_in GROUP BY ALL),
 bd AS (SELECT e.project_id, e.pos, end_us AS at_us, a.t AS last_word, out_us - a.e AS out_margin_us, b.t AS first_word, b.s - b_in AS in_margin_us, CASE WHEN clip_id = b_clip AND NOT muted AND NOT b_muted THEN greatest(out_us - b_in, 0) ELSE 0 END AS replayed_us,
  coalesce(a.s < out_us - 20000 AND a.e > out_us + 20000, false) AS f1, coalesce(b.s < b_in - 20000 AND b.e > b_in + 20000, false) AS f2 FROM e LEFT JOIN la ON la.project_id = e.project_id AND la.pos = e.pos LEFT JOIN fb ON fb.project_id = e.project_id AND fb.pos = e.pos)"""
-BFLAGS = "list_filter([CASE WHEN f1 THEN 'out inside word' END, CASE WHEN f2 THEN 'in inside word' END, CASE WHEN replayed_us > 0 THEN 'replayed' END], lambda x: x IS NOT NULL)"
+BFLAGS = "list_filter([CASE WHEN f1 THEN 'out inside word' END, CASE WHEN f2 THEN 'in inside word' END, CASE WHEN replayed_us > 50000 THEN 'replayed' END], lambda x: x IS NOT NULL)"
 
 
 @query("cut_boundaries", f"WITH {BOUND} SELECT project_id, pos, at_us, last_word, out_margin_us, first_word, in_margin_us, replayed_us, array_to_string({BFLAGS}, ',') AS flags FROM bd")

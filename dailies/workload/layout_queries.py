@@ -193,14 +193,24 @@ def tight_joins(spark, d):
 r AS (SELECT *, sum(out_us - in_us) OVER (PARTITION BY project_id, beat ORDER BY pos) AS en FROM s),
 v AS (SELECT *, (en - (out_us - in_us))::BIGINT AS at_us FROM r WHERE en - (out_us - in_us) < length_us),
 z AS (SELECT *, lead(pos) OVER (PARTITION BY project_id, beat ORDER BY pos) IS NULL AS lst FROM v),
-o AS (SELECT *, CASE WHEN NOT lst THEN out_us WHEN en >= length_us THEN in_us + length_us - at_us ELSE greatest(out_us, least(in_us + length_us - at_us, clip_us)) END AS no FROM z)
-SELECT project_id, beat, pos, at_us, in_us, no AS out_us, lst AND at_us + no - in_us < length_us AS short FROM o""")
+bad AS (SELECT project_id, beat FROM z WHERE lst AND en < length_us AND in_us + length_us - at_us > clip_us)
+SELECT project_id, beat, pos, at_us, in_us, CASE WHEN lst THEN in_us + length_us - at_us ELSE out_us END AS out_us FROM z ANTI JOIN bad USING (project_id, beat)""")
 def voice_shots(spark, d):
-    s = segments(spark, d).select(
+    return layout.voice_shots(narrated(spark, d))
+
+
+@query("uncovered_voice", f"""WITH {SEGMENTS}, s AS (SELECT project_id, beat_mod % 2 AS beat, pos, in_us, out_us, (project_id % 9 + 1) * 1000000 AS length_us, out_us + clip_id % 3 * 1500000 AS clip_us FROM segments),
+t AS (SELECT project_id, beat, any_value(length_us) AS length_us, sum(out_us - in_us)::BIGINT AS total FROM s GROUP BY ALL), l AS (SELECT project_id, beat, max_by(clip_us - out_us, pos) AS room FROM s GROUP BY ALL)
+SELECT project_id, beat, length_us - total AS missing_us FROM t JOIN l USING (project_id, beat) WHERE total < length_us AND length_us - total > room""")
+def uncovered_voice(spark, d):
+    return layout.uncovered_voice(narrated(spark, d))
+
+
+def narrated(spark, d):
+    return segments(spark, d).select(
         "project_id", (F.col("beat_mod") % 2).alias("beat"), "pos", "in_us", "out_us", ((F.col("project_id") % 9 + 1) * 1_000_000).alias("length_us"),
         (F.col("out_us") + F.col("clip_id") % 3 * 1_500_000).alias("clip_us"),
     )
-    return layout.voice_shots(s)
 
 
 @query("clip_first_use", f"WITH {SEGMENTS} SELECT project_id, clip_id, row_number() OVER (PARTITION BY project_id ORDER BY fp, clip_id) AS n FROM (SELECT project_id, clip_id, min(pos) AS fp FROM segments GROUP BY ALL)")

@@ -120,13 +120,22 @@ def clip_badges(spark, d):
     return reports.clip_badges(analysis(spark, d))
 
 
-@query("ending_guard", f"""WITH {PLACED}, {CAPS}, t AS (SELECT project_id, max_by(end_us, pos) AS total_us FROM placed GROUP BY 1), q AS (SELECT project_id, s_us, e_us, CASE WHEN item % 3 = 0 THEN 'Thanks for watching' WHEN item % 3 = 1 THEN 'Do zobaczenia' ELSE 'plain words' END AS text FROM caps),
-s AS (SELECT project_id, string_agg(text, ' ' ORDER BY s_us, text) AS said FROM q JOIN t USING (project_id) WHERE s_us < total_us AND e_us > total_us - 3000000 GROUP BY 1) SELECT project_id, regexp_extract(said, '(?i)do\\s+zobaczenia|thanks?\\s+for\\s+watching') AS phrase FROM s WHERE regexp_matches(said, '(?i)do\\s+zobaczenia|thanks?\\s+for\\s+watching')""")
+@query("ending_guard", f"""WITH {PLACED}, {CAPS}, t AS (SELECT project_id, max_by(end_us, pos) AS total_us FROM placed GROUP BY 1), q AS (SELECT project_id, s_us, e_us, CASE WHEN item % 3 = 0 THEN 'Do usłyszenia' WHEN item % 3 = 1 THEN 'na tym końcZymy' ELSE 'Thanks for watching' END AS text FROM caps),
+s AS (SELECT project_id, string_agg(text, ' ' ORDER BY s_us, text) AS said FROM q JOIN t USING (project_id) WHERE s_us < total_us AND e_us > total_us - 3000000 GROUP BY 1) SELECT project_id, regexp_extract(said, '(?i)do\\s+zobaczenia|na\\s+tym\\s+koń?cz[yę]m[ye]|do\\s+usłyszenia') AS phrase FROM s WHERE regexp_matches(said, '(?i)do\\s+zobaczenia|na\\s+tym\\s+koń?cz[yę]m[ye]|do\\s+usłyszenia')""")
 def ending_guard(spark, d):
-    text = F.when(F.col("item") % 3 == 0, "Thanks for watching").when(F.col("item") % 3 == 1, "Do zobaczenia").otherwise("plain words")
+    text = F.when(F.col("item") % 3 == 0, "Do usłyszenia").when(F.col("item") % 3 == 1, "na tym końcZymy").otherwise("Thanks for watching")
     return reports.ending_guard(captions(spark, d).withColumn("text", text), totals(spark, d))
 
 
+@query("plan_endings", f"""WITH {PLACED}, {CAPS}, t AS (SELECT project_id, max_by(end_us, pos) AS total_us, max(pos) AS item FROM placed GROUP BY 1),
+n AS (SELECT project_id, 'notes' AS place, item, CASE WHEN project_id % 2 = 0 THEN 'trzymajcie się' ELSE 'calm' END AS text FROM t), a AS (SELECT project_id, place, q.item, text FROM (SELECT c.project_id, 'caption' AS place, c.item, CASE WHEN c.item % 3 = 0 THEN 'Thank for watching' WHEN c.item % 3 = 1 THEN 'See you SOON' ELSE 'Do usłyszenia' END AS text FROM caps c JOIN t USING (project_id) WHERE e_us >= total_us - 5000000) q UNION ALL SELECT * FROM n)
+SELECT project_id, place, item, regexp_extract(text, '(?i)trzymajcie\\s+si[eę]|thanks?\\s+for\\s+watching|see\\s+you\\s+(?:next|soon)') AS phrase FROM a WHERE regexp_matches(text, '(?i)trzymajcie\\s+si[eę]|thanks?\\s+for\\s+watching|see\\s+you\\s+(?:next|soon)')""")
+def plan_endings(spark, d):
+    text = F.when(F.col("item") % 3 == 0, "Thank for watching").when(F.col("item") % 3 == 1, "See you SOON").otherwise("Do usłyszenia")
+    notes = placed(spark, d).groupBy("project_id").agg(F.max("pos").alias("item")).withColumn("text", F.when(F.col("project_id") % 2 == 0, "trzymajcie się").otherwise("calm"))
+    return reports.plan_endings(captions(spark, d).withColumn("text", text), totals(spark, d), notes)
+
+
 @query("file_conformance", f"WITH {NORM} SELECT clip_id, unnest(list_filter([CASE WHEN codec <> 'h264' THEN 'codec' END, CASE WHEN pix_fmt <> 'yuv420p' THEN 'pix_fmt' END, CASE WHEN display_width <> 1920 OR display_height <> 1080 THEN 'size' END, CASE WHEN fps_int <> 30 THEN 'fps' END, CASE WHEN hdr IS NOT NULL THEN 'hdr' END, CASE WHEN rotation <> 0 THEN 'rotation' END], lambda x: x IS NOT NULL)) AS rule FROM n")
 def file_conformance(spark, d):
     return reports.file_conformance(media.normalize_probe(probe_docs(spark, d)))

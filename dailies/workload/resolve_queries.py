@@ -112,11 +112,11 @@ def plan_broll(spark, d):
     return resolve.plan_broll(a.withColumnRenamed("event_id", "item"), b, splits=splits)
 
 
-@query("plan_captions", f"""WITH {CAPS}, c AS (SELECT project_id, item, item % 5 = 0 AS sub, s_us - 700000 AS s, e_us AS e FROM caps), k AS (SELECT project_id, item, sub, greatest(s, 0) AS s_us, least(e, 18000000) AS e_us FROM c),
+@query("plan_captions", f"""WITH {CAPS}, c AS (SELECT project_id, item, item % 5 = 0 AS sub, s_us - 700000 AS s, CASE WHEN item % 7 <> 0 THEN e_us ELSE 0 END AS e FROM caps), k AS (SELECT project_id, item, sub, greatest(s, 0) AS s_us, least(CASE WHEN e <= greatest(s, 0) THEN greatest(s, 0) + 2500000 ELSE e END, 18000000) AS e_us FROM c),
 l AS (SELECT *, lead(s_us) OVER (PARTITION BY project_id ORDER BY s_us, item) AS n FROM k WHERE e_us - s_us >= 400000)
-SELECT project_id, item, s_us, CASE WHEN NOT sub AND coalesce(e_us > n - 50000, false) THEN greatest(n - 50000, s_us) ELSE e_us END AS e_us FROM l""")
+SELECT project_id, item, s_us, CASE WHEN NOT sub AND coalesce(n < e_us, false) THEN greatest(n - 50000, s_us + 400000) ELSE e_us END AS e_us FROM l""")
 def plan_captions(spark, d):
-    c = captions(spark, d).select("project_id", "item", (F.col("item") % 5 == 0).alias("subtitle"), (F.col("s_us") - 700_000).alias("s_us"), "e_us", F.lit(18_000_000).cast("bigint").alias("total_us"))
+    c = captions(spark, d).select("project_id", "item", (F.col("item") % 5 == 0).alias("subtitle"), (F.col("s_us") - 700_000).alias("s_us"), F.when(F.col("item") % 7 != 0, F.col("e_us")).alias("e_us"), F.lit(18_000_000).cast("bigint").alias("total_us"))
     return resolve.plan_captions(c)
 
 
@@ -129,36 +129,47 @@ def accept_music(spark, d):
     return resolve.accept_music(base, splits=plan_splits(base, P, "s_us")).select("project_id", "item", "accepted", "at_us")
 
 
-@query("thin_chapters", f"""WITH RECURSIVE {RANGES}, u AS (SELECT clip_id AS project_id, s_us, min(event_id) AS item FROM ranges WHERE s_us <= 6000000000 - 10000000 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY s_us) AS rn FROM u),
-f AS (SELECT project_id, rn, s_us AS last, item, s_us, true AS kept FROM r WHERE rn = 1 UNION ALL SELECT r.project_id, r.rn, CASE WHEN r.s_us - f.last >= 60000000 THEN r.s_us ELSE f.last END, r.item, r.s_us, r.s_us - f.last >= 60000000 FROM f JOIN r ON r.project_id = f.project_id AND r.rn = f.rn + 1)
-SELECT project_id, item, s_us FROM f WHERE kept""")
+BEATS = "beats AS (SELECT project_id, 's' || s_us AS beat, s_us AS start_us FROM (SELECT DISTINCT clip_id AS project_id, s_us FROM ranges WHERE event_type = 'view'))"
+
+
+def beats_of(spark, d):
+    views = ranges(spark, d).where("event_type = 'view'").select(F.col("clip_id").alias("project_id"), F.col("s_us").alias("start_us")).distinct()
+    return views.withColumn("beat", F.concat(F.lit("s"), F.col("start_us").cast("string")))
+
+
+@query("thin_chapters", f"""WITH RECURSIVE {RANGES}, {BEATS}, q AS (SELECT clip_id AS project_id, event_id AS item, s_us + 1000000 AS at_us FROM ranges),
+g AS (SELECT q.project_id, item, at_us, start_us AS s_us, beat FROM q ASOF JOIN beats b ON q.project_id = b.project_id AND q.at_us >= b.start_us WHERE start_us <= 6000000000 - 10000000),
+u AS (SELECT project_id, s_us, beat, arg_min(item, [at_us, item]) AS item FROM g GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY s_us) AS rn FROM u),
+f AS (SELECT project_id, rn, s_us AS last, item, beat, s_us, true AS kept FROM r WHERE rn = 1 UNION ALL SELECT r.project_id, r.rn, CASE WHEN r.s_us - f.last >= 60000000 THEN r.s_us ELSE f.last END, r.item, r.beat, r.s_us, r.s_us - f.last >= 60000000 FROM f JOIN r ON r.project_id = f.project_id AND r.rn = f.rn + 1),
+o AS (SELECT project_id, arg_min(beat, start_us) AS b0 FROM beats GROUP BY 1)
+SELECT project_id, item, CASE WHEN s_us = min(s_us) OVER (PARTITION BY project_id) THEN b0 ELSE beat END AS beat FROM f JOIN o USING (project_id) WHERE kept""")
 def thin_chapters(spark, d):
-    base = ranges(spark, d).select(F.col("clip_id").alias("project_id"), F.col("event_id").alias("item"), "s_us", F.lit(6_000_000_000).alias("total_us"))
-    return resolve.thin_chapters(base, apart_us=60_000_000)
+    base = ranges(spark, d).select(F.col("clip_id").alias("project_id"), F.col("event_id").alias("item"), (F.col("s_us") + 1_000_000).alias("at_us"), F.lit(6_000_000_000).alias("total_us"))
+    return resolve.thin_chapters(base, beats_of(spark, d), apart_us=60_000_000)
 
 
-TEMPLATE = [("hook", 0), ("promise", 2_000_000), ("turn", 5_000_000), ("payoff", -2_000_000)]
-TSQL = "tp(label, at_us) AS (VALUES ('hook', 0), ('promise', 2000000), ('turn', 5000000), ('payoff', -2000000)), tot AS (SELECT project_id, max_by(end_us, pos) AS total_us FROM placed GROUP BY 1), mk AS (SELECT project_id, t_us, min(label) AS label FROM (SELECT project_id, total_us, label, CASE WHEN at_us < 0 THEN total_us + at_us ELSE at_us END AS t_us FROM tot, tp) WHERE t_us BETWEEN 0 AND total_us GROUP BY ALL)"
+TEMPLATE = [("hook", 0), ("promise", 2_000_000), ("turn", 5_000_000), ("payoff", -2_000_000), ("opening", 0)]
+TSQL = """tp(label, at_us) AS (VALUES ('hook', 0), ('promise', 2000000), ('turn', 5000000), ('payoff', -2000000), ('opening', 0)), tot AS (SELECT project_id, max_by(end_us, pos) AS total_us FROM placed GROUP BY 1),
+mk AS (SELECT project_id, label, t_us FROM (SELECT project_id, total_us, label, CASE WHEN at_us < 0 THEN total_us + at_us ELSE at_us END AS t_us FROM tot, tp) WHERE t_us BETWEEN 0 AND total_us)"""
 
 
 def totals(spark, d):
     return placed(spark, d).groupBy("project_id").agg(F.max_by("end_us", "pos").alias("total_us"))
 
 
-def template(spark):
-    return spark.createDataFrame(TEMPLATE, "label string, at_us bigint")
-
-
-@query("plan_markers", f"WITH {PLACED}, {TSQL} SELECT * FROM mk")
+@query("plan_markers", f"""WITH {PLACED}, {TSQL}, c AS (SELECT project_id, total_us, CASE WHEN project_id % 2 = 0 THEN 1500000 ELSE round_even(total_us * 0.3::DOUBLE / 100000, 0)::BIGINT * 100000 END AS t_us FROM tot),
+m AS (SELECT * FROM mk UNION ALL SELECT project_id, 'subscribe-cta', t_us FROM c WHERE t_us > 0 AND t_us < total_us), b AS (SELECT project_id, pos AS beat, start_us FROM placed QUALIFY row_number() OVER (PARTITION BY project_id, start_us ORDER BY pos DESC) = 1)
+SELECT DISTINCT m.project_id, b.beat, label FROM m ASOF JOIN b ON m.project_id = b.project_id AND m.t_us >= b.start_us""")
 def plan_markers(spark, d):
-    return resolve.plan_markers(totals(spark, d), template(spark))
+    t = totals(spark, d).withColumn("cta_us", F.when(F.col("project_id") % 2 == 0, 1_500_000).cast("bigint"))
+    return resolve.plan_markers(t, placed(spark, d).select("project_id", F.col("pos").alias("beat"), "start_us"), TEMPLATE)
 
 
 @query("missing_markers", f"""WITH {PLACED}, {TSQL}, {CAPS}, mm AS (SELECT project_id, s_us AS t_us, CASE WHEN item % 3 = 0 THEN 'hook' ELSE 'other' END AS label FROM caps)
 SELECT * FROM mk WHERE NOT EXISTS (SELECT 1 FROM mm WHERE mm.project_id = mk.project_id AND (mm.label = mk.label OR abs(mm.t_us - mk.t_us) <= 1000000))""")
 def missing_markers(spark, d):
     m = captions(spark, d).select("project_id", F.col("s_us").alias("t_us"), F.when(F.col("item") % 3 == 0, "hook").otherwise("other").alias("label"))
-    return resolve.missing_markers(totals(spark, d), template(spark), m, tolerance_us=1_000_000)
+    return resolve.missing_markers(totals(spark, d), TEMPLATE, m, tolerance_us=1_000_000)
 
 
 @query("absorb_broll", f"""WITH {SEGMENTS}, b AS (SELECT project_id, pos, CASE WHEN beat_mod < 4 THEN 'broll' ELSE 'speech' END AS kind, out_us - in_us AS dur_us, clip_id % 5 = 0 AS target, clip_id % 7 * 1000000 AS length_us FROM segments),
