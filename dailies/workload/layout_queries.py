@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dailies.functions.arith import idiv
-from dailies.operators import checks, layout
+from dailies.operators import checks, layout, validation
 from dailies.operators.ordered import plan_splits
 from dailies.operators.segment import islands
 from dailies.workload.adapter import RANGES, SEGMENTS, WORDS, clips, ranges, segments, table, words
@@ -314,3 +314,67 @@ SELECT * FROM i""")
 def timeline_issues(spark, d):
     known = table(spark, d, "part").where(F.col("p_partkey") % 10 != 0).select(F.col("p_partkey").alias("clip_id"), (F.col("p_size") * 250_000).cast("bigint").alias("dur_us"))
     return checks.timeline_issues(placed(spark, d), captions(spark, d), known)
+
+
+#: Timelines with borrowed sound, heard windows, tracks and marks, so that every rule of the validation is met and broken.
+TIMELINES = f"""{PLACED}, {CAPS}, known AS (SELECT p_partkey AS clip_id, p_size * 250000 AS dur_us FROM part WHERE p_partkey % 10 <> 0),
+tl AS (SELECT project_id, pos, beat AS segment, clip_id, in_us - CASE WHEN clip_id % 50 = 0 THEN 9000000 ELSE 0 END AS in_us, out_us, speed - CASE WHEN clip_id % 31 = 0 THEN 2 ELSE 0 END AS speed, transition,
+  CASE WHEN clip_id % 17 = 0 THEN -1 WHEN clip_id % 19 = 0 THEN 999000000 ELSE transition_us END AS transition_us, start_us, end_us,
+  CASE WHEN pos % 2 = 0 THEN clip_id + 1 END AS audio_clip, CASE WHEN pos % 2 = 0 THEN in_us - CASE WHEN clip_id % 7 = 0 THEN 3000000 ELSE 0 END END AS audio_in_us,
+  CASE WHEN pos % 2 = 0 THEN out_us - CASE WHEN clip_id % 11 = 0 THEN 90000000 ELSE 0 END END AS audio_out_us,
+  CASE WHEN pos % 3 = 0 THEN in_us + 100000 END AS window_in_us, CASE WHEN pos % 3 = 0 THEN in_us + (clip_id % 5) * 400000 END AS window_out_us FROM placed),
+tot AS (SELECT project_id, max_by(end_us, pos) AS total_us FROM placed GROUP BY 1),
+it AS (SELECT project_id, CASE item % 4 WHEN 0 THEN 'caption' WHEN 1 THEN 'music' WHEN 2 THEN 'voice' ELSE 'sfx' END AS track, item, s_us - CASE WHEN project_id % 3 = 0 THEN 900000 ELSE 0 END AS s_us,
+  e_us - CASE WHEN project_id % 5 = 0 THEN 2600000 ELSE 0 END AS e_us, CASE WHEN project_id % 4 = 0 THEN ' ' ELSE 'x' END AS text, CASE WHEN project_id % 7 = 0 THEN 'subtitle' ELSE 'hook' END AS style, project_id % 6 <> 0 AS has_file FROM caps
+  UNION ALL SELECT project_id, CASE WHEN project_id % 2 = 0 THEN 'caption' ELSE 'music' END, item + 10000000, s_us, e_us, 'y', 'location', true FROM caps),
+mk AS (SELECT project_id, CASE item % 3 WHEN 0 THEN 'mute' WHEN 1 THEN 'marker' ELSE 'chapter' END AS kind, item, s_us - s_us % 4000000 AS s_us, e_us - CASE WHEN project_id % 5 = 0 THEN 9000000 ELSE 0 END AS e_us, project_id % 2 = 0 AS known FROM caps
+  UNION ALL SELECT project_id, 'chapter', item + 20000000, s_us // 2, e_us, true FROM caps)"""
+
+
+def timelines(spark, d):
+    """(placed, clips, items, marks, projects, totals) as TIMELINES has them."""
+    c, even, third = F.col("clip_id"), F.col("pos") % 2 == 0, F.col("pos") % 3 == 0
+    p = placed(spark, d)
+    tl = p.select(
+        "project_id", "pos", F.col("beat").alias("segment"), "clip_id", (F.col("in_us") - F.when(c % 50 == 0, 9_000_000).otherwise(0)).alias("in_us"), "out_us",
+        (F.col("speed") - F.when(c % 31 == 0, 2).otherwise(0)).alias("speed"), "transition", F.when(c % 17 == 0, -1).when(c % 19 == 0, 999_000_000).otherwise(F.col("transition_us")).cast("bigint").alias("transition_us"),
+        "start_us", "end_us", F.when(even, c + 1).alias("audio_clip"), F.when(even, F.col("in_us") - F.when(c % 7 == 0, 3_000_000).otherwise(0)).alias("audio_in_us"),
+        F.when(even, F.col("out_us") - F.when(c % 11 == 0, 90_000_000).otherwise(0)).alias("audio_out_us"),
+        F.when(third, F.col("in_us") + 100_000).alias("window_in_us"), F.when(third, F.col("in_us") + (c % 5) * 400_000).alias("window_out_us"),
+    )
+    known = table(spark, d, "part").where(F.col("p_partkey") % 10 != 0).select(F.col("p_partkey").alias("clip_id"), (F.col("p_size") * 250_000).cast("bigint").alias("dur_us"))
+    caps, pid, i = captions(spark, d), F.col("project_id"), F.col("item")
+    track = F.when(i % 4 == 0, "caption").when(i % 4 == 1, "music").when(i % 4 == 2, "voice").otherwise("sfx")
+    items = caps.select(
+        "project_id", track.alias("track"), "item", (F.col("s_us") - F.when(pid % 3 == 0, 900_000).otherwise(0)).alias("s_us"), (F.col("e_us") - F.when(pid % 5 == 0, 2_600_000).otherwise(0)).alias("e_us"),
+        F.when(pid % 4 == 0, " ").otherwise("x").alias("text"), F.when(pid % 7 == 0, "subtitle").otherwise("hook").alias("style"), (pid % 6 != 0).alias("has_file"),
+    ).unionByName(caps.select("project_id", F.when(pid % 2 == 0, "caption").otherwise("music").alias("track"), (i + 10_000_000).alias("item"), "s_us", "e_us", F.lit("y").alias("text"), F.lit("location").alias("style"), F.lit(True).alias("has_file")))
+    kind = F.when(i % 3 == 0, "mute").when(i % 3 == 1, "marker").otherwise("chapter")
+    marks = caps.select(
+        "project_id", kind.alias("kind"), "item", (F.col("s_us") - F.col("s_us") % 4_000_000).alias("s_us"), (F.col("e_us") - F.when(pid % 5 == 0, 9_000_000).otherwise(0)).alias("e_us"), (pid % 2 == 0).alias("known"),
+    ).unionByName(caps.select("project_id", F.lit("chapter").alias("kind"), (i + 20_000_000).alias("item"), idiv("s_us", 2).alias("s_us"), "e_us", F.lit(True).alias("known")))
+    projects = table(spark, d, "orders").select(F.col("o_orderkey").alias("project_id"), (F.col("o_custkey") % 40).alias("fps"), F.lit(1920).alias("width"), F.lit(1080).alias("height"))
+    totals = p.groupBy("project_id").agg(F.max_by("end_us", "pos").alias("total_us"))
+    return tl, known, items, marks, projects, totals
+
+
+@query("timeline_validation", f"""WITH {TIMELINES},
+s AS (SELECT tl.*, lag(end_us) OVER w AS pe, lag(start_us) OVER w AS ps, k.clip_id AS c, k.dur_us AS d, a.clip_id AS ac, a.dur_us AS ad FROM tl LEFT JOIN known k ON k.clip_id = tl.clip_id LEFT JOIN known a ON a.clip_id = tl.audio_clip WINDOW w AS (PARTITION BY project_id ORDER BY pos)),
+x AS (SELECT project_id, segment::VARCHAR AS ref, unnest([CASE WHEN out_us <= in_us THEN 'empty_range' END, CASE WHEN in_us < 0 THEN 'negative_in' END, CASE WHEN speed <= 0 THEN 'bad_speed' END, CASE WHEN c IS NULL THEN 'unknown_clip' END,
+ CASE WHEN c IS NOT NULL AND out_us > in_us AND out_us > d + 50000 THEN 'range_exceeds_clip' END, CASE WHEN audio_clip IS NOT NULL AND ac IS NULL THEN 'unknown_audio_clip' END,
+ CASE WHEN ac IS NOT NULL AND audio_out_us <= audio_in_us THEN 'empty_audio_range' END, CASE WHEN ac IS NOT NULL AND audio_out_us > audio_in_us AND audio_in_us < 0 THEN 'negative_audio_in' END,
+ CASE WHEN ac IS NOT NULL AND audio_out_us > audio_in_us AND audio_in_us >= 0 AND audio_out_us > ad + 50000 THEN 'audio_exceeds_clip' END, CASE WHEN window_out_us <= window_in_us THEN 'empty_window' END,
+ CASE WHEN window_out_us > window_in_us AND (window_in_us < coalesce(audio_in_us, in_us) OR window_out_us > coalesce(audio_out_us, out_us)) THEN 'window_outside_audio' END,
+ CASE WHEN transition_us < 0 THEN 'negative_transition' END, CASE WHEN transition_us > end_us - start_us THEN 'transition_too_long' END, CASE WHEN start_us < ps THEN 'starts_before_last' END,
+ CASE WHEN pe > start_us AND transition <> 'xfade' THEN 'overlap_without_xfade' END]) AS code FROM s
+ UNION ALL SELECT project_id, segment::VARCHAR, 'duplicate_id' FROM tl GROUP BY project_id, segment HAVING count(*) > 1
+ UNION ALL SELECT project_id, item::VARCHAR, track || '_' || unnest([CASE WHEN track IN ('caption', 'music') AND e_us <= s_us THEN 'empty_range' END, CASE WHEN track = 'caption' AND (s_us < 0 OR e_us > coalesce(total_us, 0)) THEN 'outside_programme' END,
+ CASE WHEN track = 'caption' AND trim(text) = '' THEN 'empty_text' END, CASE WHEN track = 'music' AND s_us > coalesce(total_us, 0) THEN 'starts_after_end' END, CASE WHEN track IN ('voice', 'sfx') AND s_us < 0 THEN 'negative_position' END,
+ CASE WHEN track <> 'caption' AND NOT has_file THEN 'missing_file' END]) FROM it LEFT JOIN tot USING (project_id)
+ UNION ALL SELECT project_id, n::VARCHAR, track || '_overlap' FROM (SELECT project_id, track, e_us, lead(item) OVER w AS n, lead(s_us) OVER w AS ns FROM it WHERE track = 'music' OR (track = 'caption' AND style <> 'subtitle') WINDOW w AS (PARTITION BY project_id, track ORDER BY s_us, item)) WHERE ns < e_us
+ UNION ALL SELECT project_id, item::VARCHAR, unnest([CASE WHEN kind = 'mute' AND e_us <= s_us THEN 'mute_empty_range' END, CASE WHEN kind = 'mute' AND NOT known THEN 'mute_unknown_clip' END, CASE WHEN kind = 'marker' AND s_us > coalesce(total_us, 0) THEN 'marker_past_end' END]) FROM mk LEFT JOIN tot USING (project_id)
+ UNION ALL SELECT project_id, item::VARCHAR, unnest([CASE WHEN s_us <= coalesce(p, -1000000) THEN 'chapter_not_ascending' END, CASE WHEN p IS NULL AND s_us <> 0 THEN 'first_chapter_not_zero' END]) FROM (SELECT *, lag(s_us) OVER (PARTITION BY project_id ORDER BY item) AS p FROM mk WHERE kind = 'chapter')
+ UNION ALL SELECT o_orderkey, o_orderkey::VARCHAR, 'bad_canvas' FROM orders WHERE o_custkey % 40 = 0)
+SELECT * FROM x WHERE code IS NOT NULL""")
+def timeline_validation(spark, d):
+    return validation.validate_timelines(*timelines(spark, d))
