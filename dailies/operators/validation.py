@@ -96,3 +96,15 @@ def validate_timelines(placed: DataFrame, clips: DataFrame, items: DataFrame, ma
     """All rules together: project_id, ref, code."""
     out = segment_issues(placed, clips, splits=splits).unionByName(track_issues(items, totals, skip=skip)).unionByName(mark_issues(marks, totals))
     return out.unionByName(canvas_issues(projects))
+
+
+def preflight(placed: DataFrame, clips: DataFrame, items: DataFrame, marks: DataFrame, projects: DataFrame, totals: DataFrame, sources: DataFrame, *, skip: tuple[str, ...] = ()) -> DataFrame:
+    """What stands against a render: every broken rule, and each clip seen or heard that has no source file.
+
+    ``skip`` names tracks that the render leaves out (music, voice).
+    """
+    used = placed.select("project_id", "clip_id").unionByName(placed.where("audio_clip IS NOT NULL").select("project_id", F.col("audio_clip").alias("clip_id"))).distinct()
+    lost = used.join(sources.select("clip_id").distinct(), "clip_id", "left_anti")
+    return validate_timelines(placed, clips, items, marks, projects, totals, skip=skip).unionByName(
+        lost.select("project_id", F.col("clip_id").cast("string").alias("ref"), F.lit("missing_source").alias("code"))
+    )

@@ -358,8 +358,7 @@ def timelines(spark, d):
     return tl, known, items, marks, projects, totals
 
 
-@query("timeline_validation", f"""WITH {TIMELINES},
-s AS (SELECT tl.*, lag(end_us) OVER w AS pe, lag(start_us) OVER w AS ps, k.clip_id AS c, k.dur_us AS d, a.clip_id AS ac, a.dur_us AS ad FROM tl LEFT JOIN known k ON k.clip_id = tl.clip_id LEFT JOIN known a ON a.clip_id = tl.audio_clip WINDOW w AS (PARTITION BY project_id ORDER BY pos)),
+ISSUES = f"""s AS (SELECT tl.*, lag(end_us) OVER w AS pe, lag(start_us) OVER w AS ps, k.clip_id AS c, k.dur_us AS d, a.clip_id AS ac, a.dur_us AS ad FROM tl LEFT JOIN known k ON k.clip_id = tl.clip_id LEFT JOIN known a ON a.clip_id = tl.audio_clip WINDOW w AS (PARTITION BY project_id ORDER BY pos)),
 x AS (SELECT project_id, segment::VARCHAR AS ref, unnest([CASE WHEN out_us <= in_us THEN 'empty_range' END, CASE WHEN in_us < 0 THEN 'negative_in' END, CASE WHEN speed <= 0 THEN 'bad_speed' END, CASE WHEN c IS NULL THEN 'unknown_clip' END,
  CASE WHEN c IS NOT NULL AND out_us > in_us AND out_us > d + 50000 THEN 'range_exceeds_clip' END, CASE WHEN audio_clip IS NOT NULL AND ac IS NULL THEN 'unknown_audio_clip' END,
  CASE WHEN ac IS NOT NULL AND audio_out_us <= audio_in_us THEN 'empty_audio_range' END, CASE WHEN ac IS NOT NULL AND audio_out_us > audio_in_us AND audio_in_us < 0 THEN 'negative_audio_in' END,
@@ -374,7 +373,18 @@ x AS (SELECT project_id, segment::VARCHAR AS ref, unnest([CASE WHEN out_us <= in
  UNION ALL SELECT project_id, n::VARCHAR, track || '_overlap' FROM (SELECT project_id, track, e_us, lead(item) OVER w AS n, lead(s_us) OVER w AS ns FROM it WHERE track = 'music' OR (track = 'caption' AND style <> 'subtitle') WINDOW w AS (PARTITION BY project_id, track ORDER BY s_us, item)) WHERE ns < e_us
  UNION ALL SELECT project_id, item::VARCHAR, unnest([CASE WHEN kind = 'mute' AND e_us <= s_us THEN 'mute_empty_range' END, CASE WHEN kind = 'mute' AND NOT known THEN 'mute_unknown_clip' END, CASE WHEN kind = 'marker' AND s_us > coalesce(total_us, 0) THEN 'marker_past_end' END]) FROM mk LEFT JOIN tot USING (project_id)
  UNION ALL SELECT project_id, item::VARCHAR, unnest([CASE WHEN s_us <= coalesce(p, -1000000) THEN 'chapter_not_ascending' END, CASE WHEN p IS NULL AND s_us <> 0 THEN 'first_chapter_not_zero' END]) FROM (SELECT *, lag(s_us) OVER (PARTITION BY project_id ORDER BY item) AS p FROM mk WHERE kind = 'chapter')
- UNION ALL SELECT o_orderkey, o_orderkey::VARCHAR, 'bad_canvas' FROM orders WHERE o_custkey % 40 = 0)
-SELECT * FROM x WHERE code IS NOT NULL""")
+ UNION ALL SELECT o_orderkey, o_orderkey::VARCHAR, 'bad_canvas' FROM orders WHERE o_custkey % 40 = 0)"""
+
+
+@query("timeline_validation", f"WITH {TIMELINES},\n{ISSUES} SELECT * FROM x WHERE code IS NOT NULL")
 def timeline_validation(spark, d):
     return validation.validate_timelines(*timelines(spark, d))
+
+
+@query("preflight", f"""WITH {TIMELINES},
+{ISSUES}, src AS (SELECT l_partkey AS clip_id FROM lineitem WHERE l_suppkey % 9 <> 0)
+SELECT project_id, ref, code FROM x WHERE code IS NOT NULL AND code NOT LIKE 'music%'
+UNION ALL SELECT DISTINCT project_id, c::VARCHAR, 'missing_source' FROM (SELECT project_id, clip_id AS c FROM tl UNION SELECT project_id, audio_clip FROM tl WHERE audio_clip IS NOT NULL) u WHERE NOT EXISTS (SELECT 1 FROM src WHERE src.clip_id = c)""")
+def preflight(spark, d):
+    sources = table(spark, d, "lineitem").where("l_suppkey % 9 <> 0").select(F.col("l_partkey").alias("clip_id"))
+    return validation.preflight(*timelines(spark, d), sources, skip=("music",))
