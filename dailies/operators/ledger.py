@@ -42,6 +42,26 @@ def estimate_cost(work: DataFrame, prices: DataFrame) -> DataFrame:
     return priced.select(*work.columns, cost.cast("bigint").alias("usd_micro"))
 
 
+#: Units that one price covers, by service and operation: hours, minutes, thousands of characters, millions of tokens, images, seconds.
+UNITS = {("elevenlabs", "stt"): 3_600, ("elevenlabs", "music"): 60, ("elevenlabs", "tts"): 1_000, ("elevenlabs", "isolation"): 60, ("elevenlabs", "sfx"): 60, ("openrouter", "chat"): 1_000_000, ("fal", "image"): 1, ("fal", "video"): 1}
+
+
+def estimate_work(work: DataFrame, prices: DataFrame) -> DataFrame:
+    """Price work of every kind of unit; what has no price costs nothing.
+
+    ``work``: service, op, model, units, units_out (completion tokens) and other columns; ``prices``: service, op, model (null
+    for services priced by operation), price_micro, out_micro. Whole micro-dollars, rounded down.
+    """
+    kinds = [F.struct(F.lit(s).alias("service"), F.lit(o).alias("op"), F.lit(n).cast("bigint").alias("n")) for (s, o), n in UNITS.items()]
+    per = F.get(F.filter(F.array(*kinds), lambda k: (k["service"] == F.col("service")) & (k["op"] == F.col("op"))), F.lit(0))["n"]
+    by_op = F.col("service") == "elevenlabs"
+    w = work.withColumns({"__per": per, "__m": F.when(by_op, F.lit("")).otherwise(F.coalesce("model", F.lit("")))})
+    p = prices.select("service", "op", F.coalesce("model", F.lit("")).alias("__m"), "price_micro", "out_micro")
+    w = w.join(p, ["service", "op", "__m"], "left")
+    total = F.col("units") * F.coalesce("price_micro", F.lit(0)) + F.coalesce("units_out", F.lit(0)) * F.coalesce("out_micro", F.lit(0))
+    return w.select(*work.columns, F.coalesce(F.call_function("div", total, F.col("__per")), F.lit(0)).cast("bigint").alias("usd_micro"))
+
+
 def admit_charges(
     charges: DataFrame, keys: Sequence[str], order: Sequence[str], *, rounds: int = 2, splits: Splits | None = None
 ) -> DataFrame:

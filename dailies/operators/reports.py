@@ -141,6 +141,20 @@ def clip_badges(analysis: DataFrame) -> DataFrame:
     return analysis.select(*CLIP, F.size("instructions").alias("instructions"), extra.alias("extra_takes"))
 
 
+def clip_flags(analyses: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """All badges of a clip from its typed analysis and its transcript's header (clip_id, language, language_mismatch); either may be missing."""
+    extra = F.aggregate("takes", F.lit(0), lambda n, t: n + F.greatest(F.size(t["attempts"]) - 1, F.lit(0)))
+    place = F.array_join(F.filter(F.array("location.name", "location.city"), lambda x: x != ""), ", ")
+    a = analyses.select(
+        "clip_id", "kind", F.size("instructions").alias("instructions"), extra.alias("takes"), F.size("background_music").alias("background_music"), "summary", place.alias("location"),
+        F.col("visual.thumbnail_candidate").alias("thumbnail_candidate"),
+    )
+    both = a.join(transcripts.select("clip_id", F.col("language").alias("transcript_language"), "language_mismatch"), "clip_id", "full")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("instructions", "takes", "background_music")}
+    no = {c: F.coalesce(c, F.lit(False)) for c in ("thumbnail_candidate", "language_mismatch")}
+    return both.withColumns({**zero, **no, **{c: F.coalesce(c, F.lit("")) for c in ("summary", "location")}})
+
+
 def ending_guard(cues: DataFrame, totals: DataFrame, *, tail_us: int = 3_000_000) -> DataFrame:
     """Projects whose last seconds contain a wrap-up phrase (cues joined in order; the tail is a few cues)."""
     tail = cues.join(totals, P).where((F.col("s_us") < F.col("total_us")) & (F.col("e_us") > F.col("total_us") - tail_us))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dailies.operators import conformance
+from dailies.operators import conformance, labels, ledger, reports
 from dailies.sources import analysis
 from dailies.workload.adapter import table
 from dailies.workload.layout_queries import CAPS, PLACED, captions, placed
@@ -73,3 +73,73 @@ def rendered_file_rules(spark, d):
         F.struct(F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit(30.0).alias("fps")).alias("canvas"), F.when(k % 15 == 0, False).when(k % 15 != 1, True).alias("faststart"), pick(16, -2_000, 1_000).cast("bigint").alias("shift_us"),
     )
     return conformance.rendered_file_rules(files)
+
+
+@query("clip_flags", """WITH b AS (SELECT doc_id AS clip_id, doc_id % 9 = 0 AS broken, doc_id AS i, lang FROM documents WHERE doc_id % 3 <> 1), t AS (SELECT doc_id AS clip_id, lang, doc_id % 4 = 0 AS mm FROM documents WHERE doc_id % 5 <> 0)
+SELECT coalesce(b.clip_id, t.clip_id) AS clip_id, CASE WHEN b.clip_id IS NULL THEN NULL WHEN broken THEN 'b-roll' ELSE CASE i % 6 WHEN 0 THEN 'a-roll' WHEN 2 THEN 'silent-broll' WHEN 3 THEN 'audio-only' ELSE 'b-roll' END END AS kind,
+ CASE WHEN b.clip_id IS NULL OR broken OR i % 4 = 0 THEN 0 ELSE 2 END AS instructions, CASE WHEN b.clip_id IS NULL OR broken THEN 0 ELSE 1 END AS takes, 0 AS background_music, '' AS summary,
+ CASE WHEN b.clip_id IS NULL THEN '' WHEN i % 2 = 0 THEN 'pier, ' || i ELSE 'city' END AS location, false AS thumbnail_candidate, t.lang AS transcript_language, coalesce(mm, false) AS language_mismatch FROM b FULL JOIN t ON b.clip_id = t.clip_id""")
+def clip_flags(spark, d):
+    i = F.col("clip_id")
+    place = F.struct(F.when(i % 2 == 0, "pier").otherwise("").alias("name"), F.when(i % 2 == 0, i.cast("string")).otherwise("city").alias("city"), F.lit(None).cast("string").alias("country"), F.lit(0.0).alias("confidence"))
+    a = analysis.analysis_documents(analysis_bodies(spark, d)).where(i % 3 != 1).withColumn("location", place)
+    t = table(spark, d, "documents").where("doc_id % 5 <> 0").select(F.col("doc_id").alias("clip_id"), F.col("lang").alias("language"), (F.col("doc_id") % 4 == 0).alias("language_mismatch"))
+    return reports.clip_flags(a, t)
+
+
+@query("estimate_work", """WITH p AS (SELECT p_brand AS model, min(p_size) AS a, max(p_size) AS b FROM part WHERE p_brand <> 'Brand#1' GROUP BY 1),
+w AS (SELECT l_orderkey AS project_id, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber % 4 WHEN 0 THEN 'elevenlabs' WHEN 1 THEN 'openrouter' WHEN 2 THEN 'fal' ELSE 'other' END AS service,
+ CASE l_linenumber % 4 WHEN 0 THEN ['stt', 'music', 'tts', 'isolation', 'sfx', 'dub'][l_suppkey % 6 + 1] WHEN 1 THEN 'chat' ELSE CASE WHEN l_suppkey % 2 = 0 THEN 'image' ELSE 'video' END END AS op, p_brand AS model, CAST(l_quantity AS BIGINT) * 1000 AS units, CASE WHEN l_linenumber % 4 = 1 THEN l_suppkey * 1000 END AS units_out FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT w.*, CASE service WHEN 'elevenlabs' THEN CASE op WHEN 'stt' THEN units * 400000 // 3600 WHEN 'music' THEN units * 800000 // 60 WHEN 'tts' THEN units * 300000 // 1000 WHEN 'isolation' THEN units * 200000 // 60 ELSE 0 END
+ WHEN 'openrouter' THEN coalesce((units * a * 1000 + units_out * b * 1000) // 1000000, 0) WHEN 'fal' THEN coalesce(units * CASE op WHEN 'image' THEN a ELSE b END, 0) ELSE 0 END::BIGINT AS usd_micro FROM w LEFT JOIN p USING (model)""")
+def estimate_work(spark, d):
+    part = table(spark, d, "part")
+    n, m = F.col("l_linenumber") % 4, F.col("l_suppkey")
+    voice = F.get(F.lit(["stt", "music", "tts", "isolation", "sfx", "dub"]), (m % 6).cast("int"))
+    work = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("project_id"), "l_linenumber", "l_partkey", "l_suppkey", F.when(n == 0, "elevenlabs").when(n == 1, "openrouter").when(n == 2, "fal").otherwise("other").alias("service"),
+        F.when(n == 0, voice).when(n == 1, "chat").otherwise(F.when(m % 2 == 0, "image").otherwise("video")).alias("op"), F.col("p_brand").alias("model"), (F.col("l_quantity").cast("bigint") * 1_000).alias("units"), F.when(n == 1, m * 1_000).alias("units_out"),
+    )
+    sizes = part.where("p_brand <> 'Brand#1'").groupBy(F.col("p_brand").alias("model")).agg(F.min("p_size").cast("bigint").alias("a"), F.max("p_size").cast("bigint").alias("b"))
+    flat = lambda op, price: F.struct(F.lit("elevenlabs").alias("service"), F.lit(op).alias("op"), F.lit(None).cast("string").alias("model"), F.lit(price).cast("bigint").alias("price_micro"), F.lit(0).cast("bigint").alias("out_micro"))
+    prices = spark.range(1).select(F.inline(F.array(flat("stt", 400_000), flat("music", 800_000), flat("tts", 300_000), flat("isolation", 200_000))))
+    by_model = sizes.select(F.inline(F.array(
+        F.struct(F.lit("openrouter").alias("service"), F.lit("chat").alias("op"), "model", (F.col("a") * 1_000).alias("price_micro"), (F.col("b") * 1_000).alias("out_micro")),
+        F.struct(F.lit("fal").alias("service"), F.lit("image").alias("op"), "model", F.col("a").alias("price_micro"), F.lit(0).cast("bigint").alias("out_micro")),
+        F.struct(F.lit("fal").alias("service"), F.lit("video").alias("op"), "model", F.col("b").alias("price_micro"), F.lit(0).cast("bigint").alias("out_micro")),
+    )))
+    return ledger.estimate_work(work, prices.unionByName(by_model))
+
+
+#: Each beat's own clip and shots; segments play one of five clips, so that shots are trimmed, skipped and met again.
+SHOTS = f"""{PLACED}, sg AS (SELECT project_id, beat, pos, clip_id % 5 AS clip_id, in_us, start_us, end_us FROM placed), bt AS (SELECT project_id, beat, project_id % 5 AS own, printf('b%03d', beat) AS name FROM sg WHERE beat <> 3 GROUP BY ALL),
+sh AS (SELECT project_id, beat, clip_id, in_us + CASE WHEN pos % 3 = 0 THEN 100000 ELSE 0 END AS in_us, row_number() OVER (PARTITION BY project_id, beat ORDER BY pos) - 1 AS i FROM sg WHERE pos % 4 <> 0),
+n AS (SELECT sg.*, own, name, row_number() OVER (PARTITION BY project_id, beat ORDER BY pos) AS rn FROM sg JOIN bt USING (project_id, beat)),
+wk AS (SELECT project_id, beat, 0::BIGINT AS rn, 0::BIGINT AS cursor, 0::BIGINT AS pos, NULL::BIGINT AS shot FROM bt UNION ALL
+ SELECT q.project_id, q.beat, q.rn, CASE WHEN c IS NOT NULL AND NOT (own = clip_id AND abs(sin - in_us) > 50000) THEN c + 1 ELSE cursor END, q.pos, CASE WHEN c IS NOT NULL AND NOT (own = clip_id AND abs(sin - in_us) > 50000) THEN c END
+ FROM (SELECT n.*, wk.cursor, (SELECT min(i) FROM sh WHERE sh.project_id = n.project_id AND sh.beat = n.beat AND sh.clip_id = n.clip_id AND sh.i >= wk.cursor) AS c,
+  (SELECT arg_min(sh.in_us, i) FROM sh WHERE sh.project_id = n.project_id AND sh.beat = n.beat AND sh.clip_id = n.clip_id AND sh.i >= wk.cursor) AS sin FROM wk JOIN n ON n.project_id = wk.project_id AND n.beat = wk.beat AND n.rn = wk.rn + 1) q)"""
+
+
+def shot_beats(spark, d):
+    sg = placed(spark, d).select("project_id", "beat", "pos", (F.col("clip_id") % 5).alias("clip_id"), "in_us", "start_us", "end_us")
+    shot = F.when(F.col("pos") % 4 != 0, F.struct("pos", "clip_id", (F.col("in_us") + F.when(F.col("pos") % 3 == 0, 100_000).otherwise(0)).alias("in_us")))
+    bt = sg.where("beat <> 3").groupBy("project_id", "beat").agg(F.transform(F.sort_array(F.collect_list(shot)), lambda x: F.struct(x["clip_id"].alias("clip_id"), x["in_us"].alias("in_us"))).alias("shots"))
+    return sg, bt.withColumns({"clip_id": F.col("project_id") % 5, "name": F.format_string("b%03d", F.col("beat").cast("int"))})
+
+
+@query("shot_of_segment", f"WITH RECURSIVE {SHOTS} SELECT project_id, beat, pos, shot::INTEGER AS shot FROM wk WHERE rn > 0")
+def shot_of_segment(spark, d):
+    return labels.shot_of_segment(*shot_beats(spark, d))
+
+
+@query("labels_around", f"""WITH RECURSIVE {SHOTS}, lb AS (SELECT project_id, pos, name || CASE WHEN shot IS NULL THEN ' (own picture)' ELSE ' (shot ' || (shot + 1) || ')' END AS label FROM wk JOIN bt USING (project_id, beat) WHERE rn > 0),
+pt AS (SELECT o_orderkey AS project_id, o_custkey * 7919 AS at_us FROM orders), ln AS (SELECT sg.project_id, sg.pos, start_us, end_us, label FROM sg LEFT JOIN lb USING (project_id, pos))
+SELECT project_id, at_us, (SELECT arg_max(label, [start_us, pos]) FROM ln WHERE ln.project_id = pt.project_id AND label IS NOT NULL AND start_us < at_us - 50000) AS label_before,
+ (SELECT arg_min(coalesce(label, '-'), [end_us, pos]) FROM ln WHERE ln.project_id = pt.project_id AND end_us > at_us + 50000) AS label_after FROM pt""")
+def labels_around(spark, d):
+    sg, bt = shot_beats(spark, d)
+    points = table(spark, d, "orders").select(F.col("o_orderkey").alias("project_id"), (F.col("o_custkey") * 7_919).alias("at_us"))
+    out = labels.labels_around(points, sg, labels.segment_labels(sg, bt), "at_us")
+    later = sg.groupBy("project_id").agg(F.max("end_us").alias("last"))
+    return out.join(later, "project_id", "left").withColumn("label_after", F.when(F.col("last") > F.col("at_us") + 50_000, F.coalesce("label_after", F.lit("-")))).drop("last")
