@@ -96,7 +96,24 @@ def op7_block_naming(spark: SparkSession, d: str) -> DataFrame:
     return naming.exact_dedup(docs_of(spark, d))
 
 
-@query()
+def _sql_list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+LICENSES = rf"""
+WITH dw AS (SELECT doc_id, {WORDS} AS w FROM documents),
+ph(label, p) AS (VALUES {", ".join(f"('{k}', {_sql_list(v.split())})" for k, v in licenses.PHRASES.items())}),
+tm(label, t) AS (VALUES {", ".join(f"('{k}', {_sql_list(sorted(set(t.split())))})" for k, ts in licenses.TEMPLATES.items() for t in ts)}),
+pl AS (SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, label, p, w, unnest(range(1, len(w) - len(p) + 2)) AS i FROM dw, ph) WHERE w[i:i + len(p) - 1] = p),
+bl AS (SELECT doc_id, list_distinct(w[b * 32 + 1:b * 32 + 64]) AS b FROM (SELECT doc_id, w, unnest(range(0, (len(w) + 31) // 32)) AS b FROM dw)),
+tc AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM bl, tm WHERE len(list_intersect(b, t)) >= ceil(0.8::DOUBLE * len(t) - 1e-9)),
+a AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM pl GROUP BY 1),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM (SELECT doc_id, label, 1.0::DOUBLE AS share FROM pl UNION ALL SELECT * FROM tc) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM dw LEFT JOIN a USING (doc_id) LEFT JOIN l USING (doc_id)"""
+
+
+@query(LICENSES)
 def op3_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return licenses.license_scan(docs_of(spark, d))
 
