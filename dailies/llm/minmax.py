@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dailies.llm.common import ascii_lower, join_keyed, keyed
@@ -14,8 +14,8 @@ from dailies.session import materialize
 
 #: Two numbers of each permutation; 40 bands of 5 miss a pair of similarity 0.8 once in 10 million.
 BANDS, ROWS, SEED = 40, 5, 20231
-#: Members of one bucket that the second round compares with the rest; each later round four times as many.
-PIVOTS = 16
+#: Members of one bucket that the second round compares others with, and how many times as many each later round does.
+TARGETS, GROWTH = 8, 256
 #: Shingles that pass through numpy at a time.
 CHUNK = 1 << 16
 
@@ -106,9 +106,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         around = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = materialize(around.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+        large = around.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # what is left of a node's neighbours are the ends of its stars, so a window over them is short
+        down = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        small = down.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         links = materialize(small)
         before, state = state, _state(links)
         if state == before:
@@ -125,11 +126,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     row; an empty table gives none.
 
     Texts with one and the same set are one class and are never paired. Classes meet in buckets of min-max bands. In
-    each bucket the class that shares most is compared with the others; then, among buckets that still hold several
-    components, classes outside the largest one are compared with all of other components, 16 at first and four times
-    as many in each round, until none is left untested. So links between classes of different components are never
-    lost, classes already joined are not compared again, and no bucket is expanded into all its pairs. Every link is
-    confirmed on the full sets, which are read only for classes that share a bucket.
+    each bucket the class that shares most is compared with the others. Then, in buckets that still hold several
+    components, classes outside the largest one are compared with 8 members of other components, and in each later
+    round with 256 times as many, until they have met every member that is still apart. So no link between classes of
+    different components is lost, classes already joined are not compared again, and only those that stay outside
+    meet a whole bucket; such a pair leaves the join only if a bound from short forms of the sets allows a link. Every link is confirmed on the full sets, read only for classes that share a bucket.
     """
     signed = materialize(sets_of(docs, shingle).mapInArrow(_sign(bands, rows), "doc_id bigint, h bigint, n_shingles bigint, sum bigint, mix bigint, bands array<bigint>"))
     same = ["n_shingles", "sum", "mix"]
@@ -145,6 +146,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     words, hashes = shingle_set(F.col("text"), shingle)
     full = materialize(join_keyed(texts, wanted).select("cid", "text").withColumn("words", words).select("cid", hashes.alias("set")))
 
+    # 16 bits of each hash: what two sets share is at most what these share, plus what coincides within the set that loses less
+    short = full.select("cid", F.array_distinct(F.transform("set", lambda x: (x.bitwiseAND(65535) - 32768).cast("smallint"))).alias("short"))
+
     def similar(n: str, other: str) -> Column:
         return F.least(n, other) * 100 >= F.greatest(n, other) * percent
 
@@ -158,31 +162,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     central = shared.groupBy("cid").agg(F.sum("m").alias("score"))
     hub = shared.join(central, "cid").groupBy("key").agg(F.max(F.struct("score", "cid", "n")).alias("hub"))
     first = shared.join(hub, "key").filter((F.col("cid") != F.col("hub.cid")) & similar("n", "hub.n"))
-    tested = materialize(first.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct())
-    links = materialize(confirm(tested))
+    links = materialize(confirm(first.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()))
     comps = components(links)
-    open_keys, width = shared.filter("m > 2").select("key").distinct(), PIVOTS
+    keys_of = shared.filter("m > 2").groupBy("cid").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most one for each band
+    open_keys, width = shared.filter("m > 2").select("key").distinct(), TARGETS
     while True:
-        labels = comps.withColumnRenamed("node", "cid")
-        now = shared.join(open_keys, "key").join(labels, "cid", "left").select("key", "cid", "n", F.coalesce("comp", "cid").alias("label"))
-        now = materialize(now)
-        sizes = now.groupBy("key", "label").agg(F.count("*").alias("c"))
-        mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).withColumn("rest", F.col("all") - F.col("top.c")).filter("rest > 0")
-        mixed = materialize(mixed.select("key", F.col("top.label").alias("top"), "rest"))
+        now = shared.join(open_keys, "key").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
+        now = now.select("key", "cid", "n", "m", F.coalesce("comp", "cid").alias("label"))
+        sizes = now.groupBy("key", "label").agg(F.count("*").alias("c"), F.max("m").alias("m"))
+        mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.max("m").alias("m"))
+        mixed = materialize(mixed.filter(F.col("top.c") < F.col("m")).select("key", "m", F.col("top.label").alias("top")))
         if mixed.isEmpty():
             break
-        members = now.join(mixed, "key")
-        turn = F.pmod(F.xxhash64("cid", F.lit(width)), F.lit(1 << 20)) * F.col("rest") < F.lit(width << 20)
-        pivots = members.filter((F.col("label") != F.col("top")) & ((F.col("rest") <= width) | turn)).select("key", F.col("cid").alias("p"), F.col("n").alias("p_n"), F.col("label").alias("p_label"))
-        pairs = members.join(pivots, "key").filter((F.col("label") != F.col("p_label")) & similar("n", "p_n"))
-        pairs = pairs.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        fresh = materialize(confirm(pairs))
-        tested = tested.unionByName(pairs)
+        members = now.drop("m").join(mixed, "key").join(keys_of, "cid").join(short, "cid")
+        turn = F.pmod(F.xxhash64("cid", "key"), F.lit(1 << 20)) * F.col("m") < F.lit(width << 20)
+        outside = members.filter(F.col("label") != F.col("top")).select(*[F.col(c).alias(f"p_{c}") for c in ("key", "cid", "n", "label", "keys", "short")])
+        targets = members.filter((F.col("m") <= width) | turn).select("key", "cid", "n", "label", "keys", "short")
+        # a pair is taken up in the first bucket it shares, so once, and only if its 16-bit forms leave room for a link
+        meet = (F.col("key") == F.col("p_key")) & (F.col("label") != F.col("p_label")) & similar("n", "p_n") & (F.get(F.array_intersect("keys", "p_keys"), F.lit(0)) == F.col("key"))
+        most = F.size(F.array_intersect("short", "p_short")) + F.least(F.col("n") - F.size("short"), F.col("p_n") - F.size("p_short"))
+        meet = meet & (most * 100 >= (F.col("n") + F.col("p_n") - most) * percent)
+        fresh = confirm(outside.join(targets, meet).select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b")).distinct())
+        fresh = materialize(fresh)
         if not fresh.isEmpty():
             links = links.unionByName(fresh)
             comps = components(links)
-        open_keys, width = mixed.filter(F.col("rest") > width).select("key"), width * 4
+        open_keys, width = mixed.filter(F.col("m") > width).select("key"), width * GROWTH
+        if open_keys.isEmpty():
+            break
 
     of_class = classes.select("cid", *same, "rep").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("comp", "cid"))
     of_class = of_class.select(*same, "label", "rep")
