@@ -68,7 +68,7 @@ def write_blocks(ids: np.ndarray) -> bytes:
     full = full.reshape(count, BLOCK)
     base = full.min(1)
     diff = full - base[:, None]
-    bits = np.ceil(np.log2(diff + 1.0)).astype(np.int64)
+    bits = np.frexp(diff.astype(np.float64))[1].astype(np.int64)
     widths = np.maximum(1, np.partition(bits, BLOCK * PERCENT // 100 - 1, axis=1)[:, BLOCK * PERCENT // 100 - 1])
     packed: list = [b""] * count
     for w in np.unique(widths):
@@ -127,12 +127,12 @@ class Words:
     """Ids of the tokenizers library, which is asked once for each distinct word met.
 
     The tokenizer drops white space and never joins what it separates, so a text is cut at plain blanks and line ends
-    first; letters and a closing full stop, comma or bar are separate words to it too. Lower-casing of ASCII is its own.
+    first; letters and the signs that close them are separate words to it too. Lower-casing of ASCII is its own.
     """
 
-    CLOSING = ".,|"
+    CLOSING = "!#$%&()*+,-./:;=?]_|}~"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -142,30 +142,38 @@ class Words:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.signs = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.table = UnitTable(self._encode)
-        self.stems = UnitTable(self._ask)
+        self.limit = limit
+        self.young: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+        self.table = UnitTable(self._encode, limit)
 
-    def _ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _stem(self, word: str) -> list[int]:
         """Words of Latin-1 letters are in normal form once lower-cased and go straight to the library's merges; others through all its steps."""
-        got: list = [None] * len(words)
-        rest = []
-        for i, w in enumerate(words):
-            if w.isalpha() and max(w) < "\u0100":
-                w = w.lower()
-                got[i] = [t.id for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.signs))]
+        ids = self.old.get(word)
+        if ids is None:
+            if word.isalpha() and max(word) < "\u0100":
+                low = word.lower()
+                ids = [t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.signs))]
             else:
-                rest.append(i)
-        for i, e in zip(rest, self.library.encode_batch([words[i] for i in rest], add_special_tokens=False)):
-            got[i] = e.ids
-        counts = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((x for g in got for x in g), np.int32, int(counts.sum())), counts
+                ids = self.library.encode(word, add_special_tokens=False).ids
+        if 2 * len(self.young) > self.limit:  # words not met since the last turn are forgotten
+            self.old, self.young = self.young, {}
+        self.young[word] = ids
+        return ids
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = []
+        out: list[int] = []
+        ends = []
         for w in words:
-            w = w.lower() if w.isascii() else w
-            parts.append([w[:-1], w[-1]] if w[-1:] in self.CLOSING and w[:-1].isalpha() else [w])
-        return self.stems.ids(parts)
+            if w.isascii():
+                w = w.lower()
+            head = w.rstrip(self.CLOSING)
+            if head is not w and head.isalpha():
+                out += self.young.get(head) or self._stem(head)
+                w = w[len(head) :]
+            out += self.young.get(w) or self._stem(w)
+            ends.append(len(out))
+        return np.array(out, np.int32), np.diff(np.array(ends, np.int64), prepend=0)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.table.ids([re.sub("[\n\t\r]", " ", t).split(" ") for t in texts])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 
@@ -49,13 +50,16 @@ class UnitTable:
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (given as their units) one after the other, and how many each has."""
         units = [u for t in texts for u in t]
-        missing = sorted(set(units).difference(self.rows))
-        if missing and len(self.rows) + len(missing) > self.limit:
-            self._shrink()
-            missing = sorted(set(units).difference(self.rows))
-        if missing:
-            self._put(missing, *self.encode(missing))
-        at = np.fromiter(map(self.rows.__getitem__, units), np.int64, len(units))
+        at = np.fromiter(map(self.rows.get, units, repeat(-1)), np.int64, len(units))
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            new = list(dict.fromkeys([units[i] for i in fresh]))
+            if len(self.rows) + len(new) > self.limit:
+                self._shrink()
+                new = list(set(units).difference(self.rows))
+                fresh = np.arange(len(units))
+            self._put(new, *self.encode(new))
+            at[fresh] = np.fromiter(map(self.rows.__getitem__, [units[i] for i in fresh]), np.int64, len(fresh))
         self.met[: len(self.rows)] += np.bincount(at, minlength=len(self.rows))
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
