@@ -18,7 +18,7 @@ MUL, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Scores below the least one that a character without a piece gets, as the library has it.
 UNKNOWN_PENALTY = 10.0
 BITMAP = 22
-#: Pieces scored below are kept in the file for decoding and never chosen.
+#: Pieces scored below are in the file for decoding and never chosen; single characters among them get the lowest other score.
 RULED_OUT = -1e8
 #: Characters handled at a time.
 CHUNK = 1 << 21
@@ -44,10 +44,15 @@ class Pieces:
         self.bytes = {b: i for i, b in self.byte_of.items()}
         self.unknown = sp.unk_id()
         skip = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)}
-        self.silent = {i for i in range(n) if sp.is_control(i)}
+        #: Text of each id (an ASCII byte stands for itself wherever it comes), and whether it is a byte that needs its neighbours.
+        self.high = np.array([self.byte_of.get(i, 0) > 127 for i in range(n)])
+        plain = [chr(self.byte_of[i]) if i in self.byte_of else "" if sp.is_control(i) else self.text[i].replace(SPACE, " ") for i in range(n)]
+        self.plain = np.array(plain, object)
         scores = np.array([sp.get_score(i) for i in range(n)], np.float32)
-        usable = [i for i in range(n) if i not in skip and scores[i] > RULED_OUT]
-        self.least = np.float32(min(scores[usable]) - UNKNOWN_PENALTY)
+        usable = [i for i in range(n) if i not in skip and (scores[i] > RULED_OUT or len(self.text[i]) == 1)]
+        lowest = min(scores[i] for i in usable if scores[i] > RULED_OUT)
+        scores[scores <= RULED_OUT] = lowest
+        self.least = np.float32(lowest - UNKNOWN_PENALTY)
         keys = np.array([self._key(self.text[i]) for i in usable], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(usable, np.int32)[order]
@@ -144,14 +149,13 @@ class Pieces:
     def _bytes(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if len(self.bytes) == 256 else [self.unknown]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """Text of ids: pieces joined, bytes put together (wrong ones become U+FFFD), U+2581 as space, the first space dropped."""
-        if self.byte_of.keys().isdisjoint(ids):
-            text = "".join([self.text[i] for i in ids if i not in self.silent])
+        if not self.high[ids].any():
+            text = "".join(self.plain[ids].tolist())
         else:
-            parts: list[bytes] = [bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].encode() for i in ids if i not in self.silent]
-            text = b"".join(parts).decode("utf-8", "replace")
-        text = text.replace(SPACE, " ")
+            parts = [bytes([self.byte_of[i]]) if i in self.byte_of else self.plain[i].encode() for i in ids.tolist()]
+            text = b"".join(parts).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -192,7 +196,9 @@ def decode(tokens: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                texts = [None if ids is None else pieces.decode(ids) for ids in part.column("ids").to_pylist()]
+                lists = part.column("ids")
+                flat, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+                texts = [pieces.decode(flat[x:y]) if known else None for x, y, known in zip(cuts[:-1], cuts[1:], lists.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(texts, pa.string())], [*keep, "text"])
 
     schema = StructType([tokens.schema[c] for c in keep]).add("text", "string")
