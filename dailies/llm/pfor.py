@@ -30,7 +30,7 @@ LANES = 64
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of BLOCK unsigned numbers below 2^width as rows of little-endian 64-bit words; groups of 64 fill ``width`` words."""
-    lanes = values.astype(np.uint64).reshape(-1, LANES).T
+    lanes = np.ascontiguousarray(values.astype(np.uint64).reshape(-1, LANES).T)
     out = np.zeros((width, lanes.shape[1]), np.uint64)
     for j in range(LANES):
         word, shift = divmod(j * width, 64)
@@ -41,7 +41,7 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _unpack(words: np.ndarray, width: int) -> np.ndarray:
-    lanes = words.reshape(-1, width).T
+    lanes = np.ascontiguousarray(words.reshape(-1, width).T)
     out = np.zeros((LANES, lanes.shape[1]), np.uint64)
     mask = np.uint64((1 << width) - 1)
     for j in range(LANES):
@@ -68,8 +68,8 @@ def write_blocks(ids: np.ndarray) -> bytes:
     full = full.reshape(count, BLOCK)
     base = full.min(1)
     diff = full - base[:, None]
-    bits = np.frexp(diff.astype(np.float64))[1].astype(np.int64)
-    widths = np.maximum(1, np.partition(bits, BLOCK * PERCENT // 100 - 1, axis=1)[:, BLOCK * PERCENT // 100 - 1])
+    bits = np.frexp(diff.astype(np.float64))[1].astype(np.uint8)
+    widths = np.maximum(1, np.partition(bits, BLOCK * PERCENT // 100 - 1, axis=1)[:, BLOCK * PERCENT // 100 - 1]).astype(np.int64)
     packed: list = [b""] * count
     for w in np.unique(widths):
         rows = np.flatnonzero(widths == w)
@@ -130,9 +130,11 @@ class Words:
     first; letters and the signs that close them are separate words to it too. Lower-casing of ASCII is its own.
     """
 
+    #: Two signs in a row, which the tokenizer keeps together, and what only it takes for a sign.
+    SIGNS, HIDDEN = re.compile(r"[^\w\s][^\w\s]"), "_\x1c\x1d\x1e\x1f"
     CLOSING = "!#$%&()*+,-./:;=?]_|}~"
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -147,13 +149,17 @@ class Words:
         self.old: dict[str, list[int]] = {}
         self.table = UnitTable(self._encode, limit)
 
+    def _merge(self, word: str) -> list[int]:
+        """Words of Latin-1 letters are in normal form once lower-cased and go straight to the library's merges."""
+        low = word.lower()
+        return [t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.signs))]
+
     def _stem(self, word: str) -> list[int]:
-        """Words of Latin-1 letters are in normal form once lower-cased and go straight to the library's merges; others through all its steps."""
+        """Ids of part of a word, kept for other words with that part."""
         ids = self.old.get(word)
         if ids is None:
             if word.isalpha() and max(word) < "\u0100":
-                low = word.lower()
-                ids = [t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.signs))]
+                ids = self._merge(word)
             else:
                 ids = self.library.encode(word, add_special_tokens=False).ids
         if 2 * len(self.young) > self.limit:  # words not met since the last turn are forgotten
@@ -165,7 +171,11 @@ class Words:
         out: list[int] = []
         ends = []
         for w in words:
-            if w.isascii():
+            if w.isalpha() and max(w) < "\u0100":
+                out += self._merge(w)
+                ends.append(len(out))
+                continue
+            if w.isascii() and "<|" not in w:
                 w = w.lower()
             head = w.rstrip(self.CLOSING)
             if head is not w and head.isalpha():
@@ -176,7 +186,16 @@ class Words:
         return np.array(out, np.int32), np.diff(np.array(ends, np.int64), prepend=0)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.table.ids([re.sub("[\n\t\r]", " ", t).split(" ") for t in texts])
+        return self.table.ids([self._units(t) for t in texts])
+
+    def _units(self, text: str) -> list[str]:
+        """Parts to encode apart: words, and where no two signs follow each other also the commas and full stops behind them."""
+        if text.isascii() and "<|" not in text:  # special tokens keep their case
+            text = text.lower()
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if not self.SIGNS.search(text) and not any(c in text for c in self.HIDDEN):
+            text = text.replace(",", " ,").replace(".", " .")
+        return text.split(" ")
 
 
 @lru_cache(maxsize=2)
