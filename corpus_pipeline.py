@@ -27,10 +27,10 @@ def _rows(docs: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language can be told; the model is fitted on a bounded sample of those that name theirs."""
     model = langid.train(docs)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     if model is None:  # no document names a language: only texts without a letter can be told from the others
         return docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    return langid.predict(rows, model, keep=("row",)).filter("lang_pred <> 'und'").select("row.*")
+    found = langid.predict(docs, model, keep=tuple(docs.columns), named=("__lang_pred", "__score"))
+    return found.filter("__lang_pred <> 'und'").drop("__lang_pred", "__score")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

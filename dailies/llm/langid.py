@@ -143,8 +143,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS,
     return fit([spectra[i] for i in full], [got[i].lang for i in full], landmarks, ridge)
 
 
-def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of each row of ``docs`` with lang_pred and score (0 to 1).
+def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of each row of ``docs`` with lang_pred and score (0 to 1), called ``named``.
 
     Only ``text`` is read for the prediction. ``und`` with score 0: null, no letter, or no model. Of equal scores the
     first language in alphabetical order wins. The score is half of one plus the winning ridge value, held to 0..1.
@@ -153,15 +153,17 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            pred, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
-            for i in range(0, b.num_rows if m else 0, 256):
-                spectra = [spectrum(t) for t in b.column("text").slice(i, 256).to_pylist()]
-                s = m.scores(spectra)
-                full = np.array([len(x) > 0 for x in spectra])
-                pred[i : i + 256] = np.where(full, np.array(m.classes, object)[s.argmax(1)], "und")
-                score[i : i + 256] = np.where(full, np.clip((1 + s.max(1).astype(float)) / 2, 0, 1), 0)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(list(pred), pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
-
-    schema = StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double")
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):  # small batches back, so that no large one is held on either side
+                b = whole.slice(i, 256)
+                pred, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
+                if m:
+                    spectra = [spectrum(t) for t in b.column("text").to_pylist()]
+                    s = m.scores(spectra)
+                    full = np.array([len(x) > 0 for x in spectra])
+                    pred = np.where(full, np.array(m.classes, object)[s.argmax(1)], "und")
+                    score = np.where(full, np.clip((1 + s.max(1).astype(float)) / 2, 0, 1), 0)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(list(pred), pa.string()), pa.array(score)], [*keep, *named])
+
+    schema = StructType([docs.schema[c] for c in keep]).add(named[0], "string").add(named[1], "double")
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)

@@ -162,7 +162,7 @@ class Pieces:
 @lru_cache(maxsize=2)
 def load(path: str) -> tuple[Pieces, UnitTable]:
     pieces = Pieces(path)
-    return pieces, UnitTable(pieces.viterbi)
+    return pieces, UnitTable(pieces.viterbi, 200_000)
 
 
 def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
