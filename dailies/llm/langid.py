@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from dailies.llm.common import sized
+from dailies.session import materialize
+
 #: Letters are folded to 64 signs: 0 is a gap, 1-26 are a-z, other letters share 37 signs by code point.
 SIGNS, OTHER = 64, 37
 #: Places of the blended spectrum: single signs, pairs and triples.
 WIDTH = SIGNS + SIGNS**2 + SIGNS**3
-#: Bounds of the fit: labelled texts and landmarks taken for each language, and the ridge.
-SAMPLE, LANDMARKS, RIDGE = 400, 48, 0.1
+#: Bounds of the fit: labelled texts and landmarks taken for each language, texts in all, and the ridge.
+SAMPLE, LANDMARKS, TOTAL, RIDGE = 400, 48, 4_000, 0.1
 #: Code points of a long text that are folded at a time.
 CHUNK = 1 << 20
 _TABLE: np.ndarray | None = None
@@ -114,18 +117,20 @@ def fit(spectra: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS
 def train(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """Fit on at most ``sample`` texts of each language in ``labelled`` (doc_id, text, lang), the first ones by a digest.
 
-    The spectra are taken on the executors; the driver gets WIDTH bits of each sampled text, however long it is.
-    Languages themselves are few: the ``sample`` bound holds for each of them.
+    The spectra are taken on the executors; the driver gets WIDTH bits of each sampled text, however long it is. With
+    many languages each gives fewer texts, TOTAL in all, but at least one.
     """
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
     order = F.struct(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("d"), "doc_id")
-    share = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    share = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    n_languages = share.count()
+    sample = max(1, min(sample, TOTAL // max(1, n_languages)))
     # a digest threshold thins each language to about twice the sample before the exact cut
     thin = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / (1 << 32)
-    near = rows.join(share, "lang").filter(thin * F.col("n") <= 2 * sample + 50)
+    near = rows.join(sized(share, n_languages), "lang").filter(thin * F.col("n") <= 2 * sample + 50)
     ids = near.groupBy("lang").agg(F.slice(F.sort_array(F.collect_set(order)), 1, sample).alias("ids"))
     ids = ids.select("lang", F.explode("ids.doc_id").alias("id"))
-    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids.select(F.col("id"), F.col("lang").alias("l"))), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("l")))
+    texts = labelled.select("doc_id", "lang", "text").join(sized(ids.select(F.col("id"), F.col("lang").alias("l")), sample * n_languages), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("l")))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
