@@ -53,9 +53,10 @@ def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Base spans stand alone: assignments whose value has 12 signs, AKIA keys of 18, hex runs of 16. Weak candidates
     (shorter values and AKIA keys, other identifiers, endpoints) are parts of a credential only together: an
-    identifier and a secret are reported when one ends at most ``scope`` code points before the other begins, an
-    endpoint when it is as near to both. Base spans count as parts: access keys as identifiers, assignments and hex
-    runs as secrets. Parts meet in an equi-join on cells of ``scope`` code points, so no two distant parts are paired.
+    identifier and a secret are reported when one begins at most ``scope`` code points after the other's end (also
+    where they overlap or one lies in the other), an endpoint when it is as near to both. Base spans count as parts:
+    access keys as identifiers, assignments and hex runs as secrets. Parts meet in an equi-join on cells of ``scope``
+    code points, so no two distant parts are paired; a span is posted to as many cells as it and its scope cover.
 
     Returns doc_id, n_assign, n_access, n_hex, base_spans and spans (arrays of kind, start, end; code points, end
     exclusive; by start, then kind in the order of KINDS). Null text is empty; repeated rows each give a row; an
@@ -70,10 +71,13 @@ def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     parts = materialize(parts.select("doc_id", "h", "copies", kind.alias("kind"), "start", "end"))
     role = F.when(F.col("kind").isin(1, 3), "identifier").when(F.col("kind") == 5, "endpoint").otherwise("secret")
     own = parts.filter(F.col("kind").isNotNull()).select("doc_id", "h", "kind", "start", "end", role.alias("role"))
-    cell = F.floor(F.col("end") / scope)
-    left = own.select("doc_id", "h", F.struct("kind", "start", "role").alias("a"), F.col("end").alias("a_end"), F.explode(F.array(cell, cell + 1)).alias("cell"))
-    right = own.select("doc_id", "h", F.struct("kind", "start", "role").alias("b"), F.col("start").alias("b_start"), F.floor(F.col("start") / scope).alias("cell"))
-    pairs = join_keyed(left, right, names=("doc_id", "h", "cell")).filter((F.col("b_start") - F.col("a_end")).between(0, scope) & (F.col("a.role") != F.col("b.role")))
+    # the first cell that two spans share is that of the later start, so only there does the later one of a pair wait
+    cells = F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("end") + scope) / scope))
+    left = own.select("doc_id", "h", F.struct("kind", "start", "role").alias("a"), F.col("end").alias("a_end"), F.explode(cells).alias("cell"))
+    right = own.select("doc_id", "h", F.struct("kind", "start", "role").alias("b"), F.floor(F.col("start") / scope).alias("cell"))
+    later = (F.col("b.start") > F.col("a.start")) | ((F.col("b.start") == F.col("a.start")) & (F.col("b.kind") > F.col("a.kind")))
+    near = F.col("b.start") - F.col("a_end") <= scope  # below 0 where they overlap or nest
+    pairs = join_keyed(left, right, names=("doc_id", "h", "cell")).filter(later & near & (F.col("a.role") != F.col("b.role")))
     sides = F.explode(F.array(F.struct(F.col("a").alias("me"), F.col("b.role").alias("other")), F.struct(F.col("b").alias("me"), F.col("a.role").alias("other")))).alias("x")
     met = pairs.select("doc_id", "h", sides).select("doc_id", "h", "x.me.kind", "x.me.start", "x.me.role", "x.other").filter(F.col("kind") > 2)
     met = met.groupBy("doc_id", "h", "kind", "start", "role").agg(F.collect_set("other").alias("others"))
