@@ -13,17 +13,26 @@ from dailies.llm.common import WORD, keyed, word_array
 
 #: Phrases whose places are counted, by label.
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
-#: Sentences of common licences and notices; each is a set of words to be contained in a block. Variants that differ
-#: in one word cannot be told apart by containment and share a family's label.
+#: Sentences of common licences and notices; each is a set of words to be contained in a block. At a threshold of 0.8
+#: up to four words must all be there, five to nine spare one, ten to fourteen two. A sentence that tells a licence by
+#: name is so short that the name must be there, or has more naming words than may be missing (MIT is also called
+#: Expat). Sentences that several licences share have a family's label, or are notices: they name none.
 TEMPLATES = {
-    "apache-2.0": ("licensed under the apache license version 2 0", "you may not use this file except in compliance with the license", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    "mit": ("released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "the software is provided as is without warranty of any kind express or implied"),
-    "gpl-family": ("this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    "apache-2.0": ("apache license 2 0", "licensed apache version 2"),
+    "mit": ("released under mit expat license", "under the mit license", "released the mit license", "released under the mit", "mit license permission granted"),
+    "mit-family": ("permission is hereby granted free of charge to any person obtaining a copy of this software",),
+    "gpl-family": (
+        "gnu general public license", "licensed gnu public license", "terms gnu public license", "under the gnu general public license version 3", "licensed under the gnu general public license 3",
+        "licensed under the gnu general public license version", "redistribute modify under terms of gnu general public license",
+    ),
     "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "redistributions of source code must retain the above copyright notice this list of conditions"),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license",),
-    "creative-commons": ("licensed under cc by nc 4 0", "licensed under cc by sa 4 0", "licensed under cc by 4 0", "creative commons attribution 4 0 international"),
+    "mpl-2.0": ("form mozilla public license", "source form mozilla license", "licensed mozilla license 2"),
+    "creative-commons": ("licensed under cc by", "cc by 4 0", "licensed cc 4 0", "creative commons attribution 4 0 international"),
     "cc0": ("creative commons zero public domain dedication",),
-    "notice": ("copyright c all rights reserved", "no part of this publication may be reproduced without written permission of the publisher"),
+    "notice": (
+        "copyright c all rights reserved", "no part of this publication may be reproduced without written permission of the publisher",
+        "you may not use this file except in compliance with the license", "the software is provided as is without warranty of any kind express or implied",
+    ),
 }
 #: A configuration, not data: what is broadcast is at most this many sentences.
 MAX_TEMPLATES = 2_000
@@ -41,8 +50,8 @@ def license_scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, template
     every run of up to 33 words lies in one. A template sentence (at most 32 words) is found where a block has at
     least ``threshold`` of its distinct words; a phrase where its words stand one after the other. Templates are
     sorted by how often their words occur in all of ``docs``: only words of the prefix (all but the most frequent
-    ones that the threshold spares) look up templates; a pair is taken up at its first common word, and only while
-    the words left and the block's length can still reach the threshold. Texts are never moved.
+    ones that the threshold spares) look up templates; a pair is taken up at its first common word, and only if the
+    block's length can reach the threshold. Texts are never moved.
 
     Returns doc_id, n_words, n_base (places of phrases), first_word and last_word (their smallest and largest start,
     else null), base_labels, labels (with the templates' labels; sorted, comma-joined) and score, the largest share

@@ -37,6 +37,57 @@ def test_template_needs_its_share(spark):
     assert got == {1: ("mit", 0.8), 2: ("", 0.0), 3: ("mit", 1.0)}
 
 
+NOTICES = {
+    "Licensed under the Apache License, Version 2.0": "apache-2.0",
+    "Licensed under the Apache License 2.0": "apache-2.0",
+    "Released under the Apache License, Version 2.0": "apache-2.0",
+    "Licensed under the Apache License, Version 2": "apache-2.0",
+    "Licensed under the Apache, Version 2.0": "apache-2.0",
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.': "apache-2.0,notice",
+    "released under the Apache License": "",
+    "Licensed under the Apache License, Version 1.0": "",
+    "released under the GPL license": "",
+    "Released under the BSD License": "",
+    "Released under the MIT License.": "mit",
+    "Released with the MIT license": "mit",
+    "Released under the MIT.": "mit",
+    "Licensed under the MIT License, Version 2.0": "mit",
+    'MIT License Copyright (c) 2020 A. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction': "mit,mit-family",
+    "Boost Software License - Version 1.0 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "mit-family",
+    "Licensed under the Mozilla Public License, Version 2.0": "mpl-2.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.": "mpl-2.0",
+    'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/': "notice",
+    'Licensed under the Educational Community License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://opensource.org/licenses/ECL-2.0': "notice",
+    "Licensed under the Eclipse Public License, Version 2.0": "",
+    "This work is licensed under the Eclipse Public License, version 3": "",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-family",
+    "This work is licensed under the General Public License, version 2.": "gpl,gpl-family",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation": "gpl,gpl-family",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "gpl,gpl-family",
+    "This program is free software. You can redistribute it and/or modify it under the terms of the Do What You Want To Public License": "",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "bsd",
+    'used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY': "notice",
+    "Licensed under CC BY-NC 4.0.": "cc-by,creative-commons",
+    "Tool 4.0, licensed under MIT by us": "",
+    "Creative Commons Attribution 4.0 International": "creative-commons",
+    "Creative Commons Zero (CC0) Public Domain Dedication": "cc0",
+    "Copyright (c) 2020 A. All rights reserved.": "notice,reserved",
+}
+
+
+def test_notices_get_no_label_of_another_licence(spark):
+    docs = spark.createDataFrame(list(enumerate(NOTICES)), "doc_id bigint, text string")
+    got = {r.doc_id: r.labels for r in licenses.license_scan(docs).collect()}
+    assert {t: got[i] for i, t in enumerate(NOTICES)} == NOTICES
+
+
+def test_no_sentence_meets_one_of_another_label():
+    sets = [(k, set(t.split())) for k, ts in licenses.TEMPLATES.items() for t in ts]
+    close = [(a, b) for ka, a in sets for kb, b in sets if ka != kb and 10 * len(a & b) >= 8 * len(a)]
+    assert not close
+
+
 def test_shards(spark, odd, odd_dir):
     got = QUERIES["op4_interleaving"](spark, odd_dir).collect()
     sizes = Counter(r.shard for r in got)
