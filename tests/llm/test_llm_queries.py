@@ -129,6 +129,18 @@ def test_exact(spark, odd, odd_dir):
     assert Counter(map(tuple, tiny)) == Counter(map(tuple, got))
 
 
+def test_exact_names_every_text(spark, odd, monkeypatch):
+    named, identities = [], naming.identities
+
+    def counted(texts, block_bytes=8192):
+        named.append(texts.count())
+        return identities(texts, block_bytes)
+
+    monkeypatch.setattr(naming, "identities", counted)
+    naming.exact_dedup(odd).collect()
+    assert named == [odd.count()]
+
+
 def test_language(spark, odd_dir, odd):
     got = QUERIES["op8_string_kernels"](spark, odd_dir).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.lang_pred in ("en", "de", "und") for r in got)
