@@ -25,7 +25,11 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language can be told; the model is fitted on a bounded sample of those that name theirs."""
+    """Keep documents with a letter: predict gives 'und' only for texts without one.
+
+    The model is fitted on a bounded sample of the documents that name their language, but neither the language it
+    finds nor its score rejects a document; letters in no learned language pass.
+    """
     model = langid.train(docs)
     if model is None:  # no document names a language: only texts without a letter can be told from the others
         return docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
