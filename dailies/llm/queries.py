@@ -136,8 +136,8 @@ def op8_string_kernels(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def op6_viterbi(spark: SparkSession, d: str) -> DataFrame:
     ids = pieces.encode(docs_of(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("given", F.sha2("text", 256)), keep=("doc_id", "given"))
-    back = pieces.decode(ids.withColumn("n_tokens", F.size("ids").cast("bigint")).withColumn("ids_hash", F.xxhash64("ids")), keep=("doc_id", "given", "n_tokens", "ids_hash"))
-    return back.select("doc_id", "n_tokens", "ids_hash", F.char_length("text").cast("bigint").alias("n_chars"), (F.sha2("text", 256) == F.col("given")).alias("same_text"))
+    back = pieces.decode(ids.withColumn("n_tokens", F.size("ids").cast("bigint")).withColumn("ids_hash", F.xxhash64("ids")), keep=("doc_id", "given", "n_tokens", "ids_hash", "ids"))
+    return back.select("doc_id", "ids", "n_tokens", "ids_hash", F.char_length("text").cast("bigint").alias("n_chars"), (F.sha2("text", 256) == F.col("given")).alias("same_text"))
 
 
 @query()

@@ -255,6 +255,12 @@ def test_pieces_round_trip(spark, odd, odd_dir):
     assert len(got) == odd.count() and all(r.same_text for r in got if r.doc_id != 14) and all(r.n_tokens == 0 for r in got if r.doc_id in (1, 2))
 
 
+def test_pieces_query_returns_its_ids(spark, odd, odd_dir):
+    got = QUERIES["op6_viterbi"](spark, odd_dir).collect()
+    assert all(len(r.ids) == r.n_tokens for r in got)
+    same([(r.doc_id, tuple(r.ids)) for r in got], [(r.doc_id, tuple(r.ids)) for r in pieces.encode(odd, keep=("doc_id",)).collect()])
+
+
 def test_pieces_are_the_best_cut(spark):
     """Against the library's own unigram search over the same pieces and scores (the file re-typed)."""
     import sentencepiece
