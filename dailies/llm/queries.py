@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dailies.llm import chat, langid, licenses, minmax, naming, pfor, pieces, secrets, sharding, winnowing
+from dailies.llm import chat, interaction, langid, licenses, minmax, naming, pfor, pieces, secrets, sharding, winnowing
 from dailies.session import ensure_checkpoint_dir
 
 QUERIES, ORACLES = {}, {}
@@ -154,3 +154,27 @@ def op2_chat_windows(spark: SparkSession, d: str) -> DataFrame:
     said = F.lit("</s>[INST] ok [/INST]").alias("text")
     more = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
     return chat.conversation_digests(chat.read_windows(chat.chat_windows(turns.unionByName(more))))
+
+
+INTERACTION = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+rows AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(w) < 50 AS A, 100 * len(list_distinct(w)) < 65 * len(w) AS B,
+  100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t) AS C, regexp_matches(t, '[#$%&*|]') AS D, coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false) AS E
+  FROM w LEFT JOIN lab USING (doc_id)),
+masks AS (SELECT part, good, toxic, A::INT + 2 * B::INT + 4 * C::INT + 8 * D::INT + 16 * E::INT AS m, count(*) AS n FROM rows GROUP BY ALL),
+f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step::INT AS step, (1 << (ascii(substr(filter_order, step::INT, 1)) - 65))::INT AS own,
+  list_sum([(1 << (ascii(y) - 65))::INT FOR y IN string_split(filter_order, '')[:step::INT - 1]]) AS prior FROM o, range(1, 6) r(step)),
+c AS (SELECT part, filter_order, step, own, sum(n) FILTER (m & (own + coalesce(prior, 0)::INT) = 0) AS kept, sum(n) FILTER (m & own <> 0 AND m & coalesce(prior, 0)::INT = 0) AS removed,
+  sum(n) FILTER (m & own <> 0 AND m & coalesce(prior, 0)::INT <> 0) AS redundant, sum(n) FILTER (m = own) AS unique_fails,
+  sum(n) FILTER (good AND m & own <> 0 AND m & coalesce(prior, 0)::INT = 0) AS good_lost, sum(n) FILTER (toxic AND m & own <> 0 AND m & coalesce(prior, 0)::INT = 0) AS toxic_lost
+  FROM masks, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, sum(coalesce(removed, 0)) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM c"""
+
+
+@query(INTERACTION)
+def op13_posting_lists(spark: SparkSession, d: str) -> DataFrame:
+    return interaction.interaction_audit(docs_of(spark, d), spark.read.parquet(f"{d}/labels.parquet"))

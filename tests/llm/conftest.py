@@ -33,6 +33,8 @@ def odd_dir(spark, odd, tmp_path_factory):
     odd.write.parquet(f"{d}/documents.parquet")
     items = [(1, BASE), (2, "one short item"), (3, None), (None, "pale moons"), (2, "lazy dog"), (4, "")]
     spark.createDataFrame([(i, t, 7) for i, t in items], "item_id bigint, text string, n int").write.parquet(f"{d}/benchmark.parquet")
+    said = [(4, 1, 0, "x"), (4, 0, 1, "x"), (None, 1, 1, "x"), (5, 0, 1, None), (13, 1, None, "y"), (77, 1, 1, "y"), (7, 1, 0, "y"), (16, None, 1, "y")]
+    spark.createDataFrame(said, "doc_id bigint, quality int, toxic int, part string").write.parquet(f"{d}/labels.parquet")
     turns = [(1, 0, "system", "be \\</s> kind", 1), (1, 1, "user", None, 1), (1, 2, "assistant", "<s> a [INST] <\\\\/s> \u00e9", 1), (1, 2, "assistant", "<s> a [INST] <\\\\/s> \u00e9", 1), (None, None, "user", "hi", 1), (None, 3, None, "x", 1), (2, 5, "assistant", "", 1)]
     turns += [(3, i, ("user", "assistant")[i % 2], f"turn {i} " + "blah " * (i % 90), 1) for i in range(1500)] + [(3, -1, "system", "stay calm", 1)]
     spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string, upto int").write.parquet(f"{d}/conversations.parquet")
@@ -44,5 +46,6 @@ def none_dir(spark, none, tmp_path_factory):
     d = tmp_path_factory.mktemp("none")
     none.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{d}/conversations.parquet")
     return str(d)

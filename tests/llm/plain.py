@@ -116,3 +116,33 @@ def token_rows(docs, encode):
         out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     return out
+
+
+def interaction(rows, labels):
+    """rows of (doc_id, text, source), labels of (doc_id, quality, toxic)."""
+    from itertools import permutations
+
+    good, toxic = ({d for d, *v in labels if v[i] == 1 and d is not None} for i in (0, 1))
+    first = {}
+    for d, t, _ in rows:
+        if d is not None:
+            first[t or ""] = min(d, first.get(t or "", d))
+    parts = defaultdict(list)
+    for d, t, s in rows:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        fails = {"A": len(w) < 50, "B": 100 * len(set(w)) < 65 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 5 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": d is not None and d > first[t]}
+        parts[s or ""].append(({k for k, v in fails.items() if v}, d in good, d in toxic))
+    out = []
+    for s, docs in parts.items():
+        removed = {}
+        for order in map("".join, permutations("ABCDE")):
+            for k, f in enumerate(order):
+                before = set(order[:k])
+                gone = [x for x in docs if f in x[0] and not x[0] & before]
+                removed[order, f] = len(gone)
+                out.append((s, order, k + 1, sum(not x[0] & set(order[: k + 1]) for x in docs), len(gone), sum(f in x[0] for x in docs) - len(gone), sum(x[0] == {f} for x in docs), sum(x[1] for x in gone), sum(x[2] for x in gone)))
+    total = Counter()
+    for (_, order, k, *_), i in zip(out, range(len(out))):
+        total[out[i][0], order[k - 1]] += out[i][4]
+    return [(*r, total[r[0], r[1][r[2] - 1]]) for r in out]
