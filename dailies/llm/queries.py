@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dailies.llm import chat, interaction, langid, licenses, minmax, naming, pfor, pieces, secrets, sharding, winnowing
+from dailies.llm import chat, divergence, interaction, langid, licenses, minmax, naming, pfor, pieces, secrets, sharding, winnowing
 from dailies.session import ensure_checkpoint_dir
 
 QUERIES, ORACLES = {}, {}
@@ -178,3 +178,28 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
 @query(INTERACTION)
 def op13_posting_lists(spark: SparkSession, d: str) -> DataFrame:
     return interaction.interaction_audit(docs_of(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
+
+
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+t AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT row) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+full_ AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM full_ JOIN v USING (lang)),
+lang_n AS (SELECT lang, term, sum(n) AS n FROM full_ GROUP BY 1, 2),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM lang_n JOIN v USING (lang)),
+pair AS (SELECT a.lang, a.source, b.source AS item, (SELECT coalesce(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+term AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM r)
+WHERE part = 'pair' OR rank <= 10"""
+
+
+@query(DIVERGENCE)
+def op12_perfect_hash(spark: SparkSession, d: str) -> DataFrame:
+    return divergence.divergence(docs_of(spark, d))

@@ -146,3 +146,28 @@ def interaction(rows, labels):
     for (_, order, k, *_), i in zip(out, range(len(out))):
         total[out[i][0], order[k - 1]] += out[i][4]
     return [(*r, total[r[0], r[1][r[2] - 1]]) for r in out]
+
+
+def divergence(rows, least=10, top=10):
+    """rows of (text, lang, source)."""
+    rows = [(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(LOW)), a or "", b or "") for t, a, b in rows]
+    df, count = defaultdict(Counter), defaultdict(Counter)
+    for w, a, b in rows:
+        df[a].update(set(w))
+        count[a, b].update(w)
+        count[a, None].update(w)
+    out = []
+    for a in {k[0] for k in count}:
+        kept = [t for t, n in df[a].items() if n >= least]
+        p = {}
+        for k, c in count.items():
+            if k[0] == a:
+                n = sum(c[t] for t in kept)
+                p[k[1]] = {t: 1 + 1_000_000_000 * (c[t] + 2) // (n + 2 * len(kept)) for t in kept}
+        f = lambda x, y: (x - y) ** 2 // (x + y)
+        for b in p:
+            if b is not None:
+                pairs = sorted((-sum(f(p[b][t], p[o][t]) for t in kept), o.encode()) for o in p if o not in (b, None))
+                terms = sorted((-f(p[b][t], p[None][t]), t.encode()) for t in kept if count[a, b][t] and p[b][t] > p[None][t])
+                out += [(a, b, part, i.decode(), -v, k + 1) for part, found in (("pair", pairs), ("term", terms[:top])) for k, (v, i) in enumerate(found)]
+    return out
