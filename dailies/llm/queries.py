@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dailies.llm import chat, divergence, interaction, langid, licenses, minmax, naming, pfor, pieces, secrets, sharding, winnowing
+from dailies.llm import chat, divergence, interaction, langid, licenses, minmax, naming, ngramjoin, pfor, pieces, secrets, sharding, winnowing
 from dailies.session import ensure_checkpoint_dir
 
 QUERIES, ORACLES = {}, {}
@@ -203,3 +203,11 @@ WHERE part = 'pair' OR rank <= 10"""
 @query(DIVERGENCE)
 def op12_perfect_hash(spark: SparkSession, d: str) -> DataFrame:
     return divergence.divergence(docs_of(spark, d))
+
+
+JACCARD = NEAR.replace("least(len(w), 2)", "least(len(w), 5)").replace(", d.doc_id = r.c AS kept", "")
+
+
+@query(JACCARD)
+def op11_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    return ngramjoin.jaccard_components(docs_of(spark, d)).drop("h")
