@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from test_llm_queries import docs_of, same
 
@@ -37,14 +38,35 @@ def crowds(seed):
 @pytest.mark.parametrize("hot", [False, True])
 def test_crowds(spark, monkeypatch, shingle, hot):
     if hot:  # nearly everything counts as hot, and rounds are narrow
-        for name, value in (("HOT_TOKEN", 0.0), ("TARGETS", 1), ("GROWTH", 3), ("HANDED", 500), ("KNOWN_WORDS", 10)):
+        for name, value in (("HOT_TOKEN", 0.0), ("TARGETS", 1), ("GROWTH", 3), ("HANDED", 500)):
             monkeypatch.setattr(ngramjoin, name, value)
     docs = crowds(shingle)
     same(joined(spark.createDataFrame(docs, "doc_id bigint, text string"), shingle), [r[:3] for r in plain.near(docs, shingle)])
 
 
+def tokens(texts, shingle=3):
+    return [t.tolist() for t in ngramjoin.Tokens(shingle).of(pa.array([t.encode() for t in texts], pa.binary()))]
+
+
 def test_tokens_are_distinct_runs():
-    hashes, factors = ngramjoin._Hashes(), ngramjoin._factors(3)
-    of = lambda t: ngramjoin.tokens_of(t.split(), 3, hashes, factors)
-    assert len(of(b"")) == 0 and len(of(b"a")) == len(of(b"a b c")) == 1 and len(of(b"a a a a")) == 1 and len(of(b"a b c d e")) == 3
-    assert len(np.intersect1d(of(b"a b c d"), of(b"x b c d"))) == 1 and len(np.intersect1d(of(b"a b"), of(b"b a"))) == 0
+    got = tokens(["", "a", "a b c", "a a a a", "a b c d e", "x b c d", "a b", "b a", "A B", " a\tb\n", "ab"])
+    assert [len(t) for t in got] == [0, 1, 1, 1, 3, 2, 1, 1, 1, 1, 1]
+    assert len(set(got[4]) & set(got[5])) == 1 and got[6] == got[8] == got[9] and len({x[0] for x in (got[6], got[7], got[10])}) == 3
+
+
+def test_long_texts_and_words_are_taken_in_pieces(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcXYZé", k=rng.choice([1, 3, 9, 700]))) for _ in range(60)), "q" * 90_000 + " end of it", "", "one two three four"]
+    want = tokens(texts)
+    monkeypatch.setattr(ngramjoin, "CHUNK", 4000)
+    assert tokens(texts) == want
+    assert tokens([texts[0].upper().replace("É", "é")])[0] == want[0]
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 10, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.union1d(a[: n // 2], rng.integers(0, 1 << 63, n // 3, dtype=np.uint64))
+        apart = sum(int(x).bit_count() for x in (ngramjoin.sketch(a) ^ ngramjoin.sketch(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b))
