@@ -51,16 +51,23 @@ def lookup(values: dict[str, str], key: Column) -> Column:
 
 
 def ascii_fold(text: Column) -> Column:
-    """Lower case with letters and signs in their plain ASCII form; rare ones that become several letters take a map."""
+    """Lower case with letters and signs in their plain ASCII form; rare ones that become several letters take a map, pure ASCII takes none."""
     spread = F.array_join(F.transform(F.split(F.lower(text), ""), lambda c: F.coalesce(lookup(FOLD_MANY, c), c)), "")
     several = text.rlike("[" + "".join(FOLD_MANY) + "]")
-    return F.translate(F.when(several, spread).otherwise(F.lower(text)), FOLD_FROM, FOLD_TO)
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(F.when(several, spread).otherwise(F.lower(text)), FOLD_FROM, FOLD_TO))
 
 
 def fold_token(text: Column) -> Column:
     """Lower case, no marks, only ``[0-9a-z]``, number words as digits."""
-    bare = F.regexp_replace(ascii_fold(text), "[^0-9a-z]+", "")
-    return F.coalesce(lookup(NUMBER_WORDS, bare), bare)
+    return number_digits(bare_token(text))
+
+
+def bare_token(text: Column) -> Column:
+    return F.regexp_replace(ascii_fold(text), "[^0-9a-z]+", "")
+
+
+def number_digits(bare: Column) -> Column:
+    return F.when(bare.isin(*NUMBER_WORDS), lookup(NUMBER_WORDS, bare)).otherwise(bare)
 
 
 def word_set(text: Column) -> Column:
