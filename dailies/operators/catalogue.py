@@ -11,6 +11,7 @@ from dailies.functions.arith import idiv
 from dailies.functions.text import slug
 from dailies.operators.dedupe import near_duplicates
 from dailies.operators.joins import asof_join, interval_join, nearest_times
+from dailies.operators.layout import sound_map
 from dailies.operators.ordered import Splits, running
 
 CLIP = ["project_id", "clip_id"]
@@ -153,10 +154,14 @@ def match_styles(requests: DataFrame, styles: DataFrame, *, fallback: str) -> Da
     )
 
 
-def cut_boundaries(placed: DataFrame, words: DataFrame, *, fps: int = 30, inside_us: int = 20_000, replay_us: int = 50_000) -> DataFrame:
-    """Audio boundaries between neighbouring segments: last and first word, margins, cut-through words."""
+def cut_boundaries(placed: DataFrame, words: DataFrame, *, fps: int = 30, inside_us: int = 20_000, replay_us: int = 50_000, splits: Splits | None = None) -> DataFrame:
+    """Audio boundaries between neighbouring segments: last and first word, margins, cut-through words.
+
+    Sides go by the clip and range that are heard, borrowed sound included, whatever part of it is audible.
+    """
+    heard = sound_map(placed).select("project_id", "pos", "end_us", "muted", F.col("a_clip").alias("clip_id"), F.col("a_in").alias("in_us"), F.col("a_out").alias("out_us"))
     specs = {f"b_{c}": ("lead", F.col(c)) for c in ("pos", "clip_id", "in_us", "out_us", "muted")}
-    lined = running(placed, ["project_id"], ["pos"], specs).where(F.col("b_pos").isNotNull())
+    lined = running(heard, ["project_id"], ["pos"], specs, splits).where(F.col("b_pos").isNotNull())
     frame = (1_000_000 + fps - 1) // fps
     cont = (F.col("clip_id") == F.col("b_clip_id")) & (F.abs(F.col("b_in_us") - F.col("out_us")) <= frame) & ~F.col("muted") & ~F.col("b_muted")
     edges = lined.where(~cont & ~(F.col("muted") & F.col("b_muted")))

@@ -68,21 +68,36 @@ def beat_ending_at(probes: DataFrame, spans: DataFrame, t: str, *, step_back_us:
     return beat_at(shifted, spans, "__t", splits=splits).drop("__t")
 
 
+def sound_map(placed: DataFrame) -> DataFrame:
+    """Segments with where their sound is read: ``a_clip``, ``a_in``, ``a_out``, and the audible part ``h_in``, ``h_out`` of it.
+
+    A segment borrows the range ``sound_in_us``, ``sound_out_us`` of ``sound_clip_id`` where that is not null, else it is
+    heard as its own picture. ``heard_in_us`` and ``heard_out_us`` (in the time of the clip that is heard) narrow what is
+    audible; nulls, and columns that are not there, narrow nothing.
+    """
+    has = lambda c: F.col(c) if c in placed.columns else F.lit(None)
+    borrowed = has("sound_clip_id").isNotNull()
+    named = placed.withColumns({
+        "a_clip": F.when(borrowed, has("sound_clip_id")).otherwise(F.col("clip_id")).cast(placed.schema["clip_id"].dataType),
+        "a_in": F.when(borrowed, has("sound_in_us")).otherwise(F.col("in_us")).cast("bigint"),
+        "a_out": F.when(borrowed, has("sound_out_us")).otherwise(F.col("out_us")).cast("bigint"),
+    })
+    return named.withColumns({"h_in": F.greatest("a_in", has("heard_in_us").cast("bigint")), "h_out": F.least("a_out", has("heard_out_us").cast("bigint"))})
+
+
 def words_on_segments(placed: DataFrame, words: DataFrame, *, heard: bool = True) -> DataFrame:
     """Words mapped through every segment that plays them, in programme time.
 
-    With ``heard`` the audio source and audible window are followed and muted segments skipped;
-    without it the picture range is used whatever is heard.
+    With ``heard`` words come from the clip that is heard (see sound_map), cut to the audible part, and muted segments are
+    skipped; ``clip_id`` is that clip. Without it words of the picture's range count, whatever is heard.
     """
-    segs = placed
     if heard:
-        segs = segs.where(~F.col("muted"))
-    segs = segs.select(
-        "project_id", "pos", "clip_id", F.col("in_us").alias("g_in"), F.col("out_us").alias("g_out"), "speed", F.col("start_us").alias("g_start")
-    )
+        segs = sound_map(placed.where(~F.col("muted"))).where("h_out > h_in").select("project_id", "pos", F.col("a_clip").alias("clip_id"), F.col("h_in").alias("g_in"), F.col("h_out").alias("g_out"), F.col("a_in").alias("g_from"), "speed", F.col("start_us").alias("g_start"))
+    else:
+        segs = placed.select("project_id", "pos", "clip_id", F.col("in_us").alias("g_in"), F.col("out_us").alias("g_out"), F.col("in_us").alias("g_from"), "speed", F.col("start_us").alias("g_start"))
     w = words.select("clip_id", F.col("pos").alias("word"), "s_us", "e_us", "text")
     hit = interval_join(segs, w, ["clip_id"], ("g_in", "g_out"), ("s_us", "e_us"))
-    at = lambda x: F.col("g_start") + idiv(x - F.col("g_in"), F.col("speed"))
+    at = lambda x: F.col("g_start") + idiv(x - F.col("g_from"), F.col("speed"))
     return hit.select(
         "project_id", "pos", "clip_id", "word", "text",
         at(F.greatest("s_us", "g_in")).alias("s_us"), at(F.least("e_us", "g_out")).alias("e_us"),
@@ -93,21 +108,36 @@ def speech_in_programme(placed: DataFrame, words: DataFrame, *, splits: Splits |
     return merge_ranges(words_on_segments(placed, words), P, splits=splits)
 
 
-def local_ranges(placed: DataFrame, ranges: DataFrame, range_id: str) -> DataFrame:
-    """Clip-time ranges in segment-local, post-speed time (0.1 ms steps), clipped to the segment."""
-    segs = placed.select("project_id", "pos", "clip_id", F.col("in_us").alias("g_in"), F.col("out_us").alias("g_out"), "speed", "start_us", "muted")
+def _local(x: Column, step_us: int = 100) -> Column:
+    """Segment-local, post-speed time of an instant of the clip, in whole steps."""
+    return round_div(idiv(x - F.col("g_from"), F.col("speed")), step_us) * step_us
+
+
+def local_ranges(placed: DataFrame, ranges: DataFrame, range_id: str, *, of: str = "sound", step_us: int = 100) -> DataFrame:
+    """Clip-time ranges in segment-local, post-speed time (0.1 ms steps), clipped to the segment.
+
+    ``of`` says whose range of which clip they meet: the 'sound' that is read for the segment (mutes), the 'audible' part
+    of it (speech), or the 'picture'; ``clip_id`` is that clip.
+    """
+    clip, low, high, start = {"sound": ("a_clip", "a_in", "a_out", "a_in"), "audible": ("a_clip", "h_in", "h_out", "a_in"), "picture": ("clip_id", "in_us", "out_us", "in_us")}[of]
+    segs = sound_map(placed).select("project_id", "pos", F.col(clip).alias("clip_id"), F.col(low).alias("g_in"), F.col(high).alias("g_out"), F.col(start).alias("g_from"), "speed", "start_us", "muted")
     r = ranges.select("clip_id", range_id, "s_us", "e_us")
-    hit = interval_join(segs, r, ["clip_id"], ("g_in", "g_out"), ("s_us", "e_us"))
-    loc = lambda x: round_div(idiv(x - F.col("g_in"), F.col("speed")), 100) * 100
+    hit = interval_join(segs.where("g_out > g_in"), r, ["clip_id"], ("g_in", "g_out"), ("s_us", "e_us"))
     return hit.select(
-        "project_id", "pos", "clip_id", range_id, "start_us", "muted", loc(F.greatest("s_us", "g_in")).alias("s_us"),
-        loc(F.least("e_us", "g_out")).alias("e_us"),
+        "project_id", "pos", "clip_id", range_id, "start_us", "muted", _local(F.greatest("s_us", "g_in"), step_us).alias("s_us"),
+        _local(F.least("e_us", "g_out"), step_us).alias("e_us"),
     )
 
 
+def audible_windows(placed: DataFrame) -> DataFrame:
+    """Segments of which only a part is heard: its start and end in segment-local, post-speed time; one without any has an empty one."""
+    cut = sound_map(placed).where((F.col("h_in") > F.col("a_in")) | (F.col("h_out") < F.col("a_out"))).withColumn("g_from", F.col("a_in"))
+    return cut.select("project_id", "pos", F.col("a_clip").alias("clip_id"), _local(F.col("h_in")).alias("s_us"), _local(F.greatest("h_in", "h_out")).alias("e_us"))
+
+
 def mutes_in_programme(placed: DataFrame, mutes: DataFrame, range_id: str) -> DataFrame:
-    """Each mute once per heard segment that uses its slice, in programme time."""
-    hit = local_ranges(placed.where(~F.col("muted")), mutes, range_id)
+    """Each mute once per unmuted segment whose picture uses its slice, in programme time (a track display goes by the picture)."""
+    hit = local_ranges(placed.where(~F.col("muted")), mutes, range_id, of="picture", step_us=1)
     return hit.select(
         "project_id", "pos", "clip_id", range_id,
         (F.col("start_us") + F.col("s_us")).alias("s_us"), (F.col("start_us") + F.col("e_us")).alias("e_us"),

@@ -53,13 +53,14 @@ def plan_splits(
     hot_share: float = 0.002,
     piece_rows: int = 1_000_000,
     sample_rows: int = 500_000,
-) -> Splits:
+) -> Splits | None:
     """Find keys holding more than ``hot_share`` of the rows and cut points inside them.
 
     ``df`` should be a scan or a cheap projection of one; its count sets the sampling rate. Only the choice of cut
     points uses the sample; results never depend on it, since any cut at an order value is valid. A key is cut at 256
     quantiles, and each of these into as many even cells as bring a piece to about ``piece_rows``, so pieces do not
-    grow with the table. The plan of the cut points stays lazy and has at most ``1 / hot_share`` rows.
+    grow with the table. None where no key is hot: a plain window then deals the rows out well enough, at any size. The
+    cut points, at most ``1 / hot_share`` rows, are found once and kept as local rows.
     """
     total = df.count()
     fraction = min(1.0, sample_rows / max(total, 1))
@@ -73,7 +74,8 @@ def plan_splits(
         .where(F.col("__n") > max(2, int(total * fraction * hot_share)))
         .select(*keys, F.array_distinct("__bounds").alias("__bounds"), cells.alias("__cells"))
     )
-    return Splits(hot, tuple(keys))
+    found = hot.collect()  # at most 1 / hot_share
+    return Splits(df.sparkSession.createDataFrame(found, hot.schema), tuple(keys)) if found else None
 
 
 _BEFORE = (Window.unboundedPreceding, -1)

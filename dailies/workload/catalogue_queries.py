@@ -10,7 +10,7 @@ from dailies.operators import catalogue as cat
 from dailies.operators import segment
 from dailies.workload.adapter import SEGMENTS, WORDS, clips, segments, table, transcripts, words
 from dailies.workload.interval_queries import ANALYSIS, analysis
-from dailies.workload.layout_queries import MUTES, PLACED, mutes, placed
+from dailies.workload.layout_queries import MUTES, PLACED, SOUNDED, mutes, placed, sounded
 from dailies.workload.registry import query
 from dailies.workload.text_queries import CLIP, SENT, SETS, pairs_sql, sentences
 
@@ -220,7 +220,7 @@ def match_styles(spark, d):
     return cat.match_styles(req, styles, fallback="calm-road")
 
 
-BOUND = f"""{PLACED}, {WORDS}, e AS (SELECT * FROM (SELECT *, lead(pos) OVER w AS b_pos, lead(clip_id) OVER w AS b_clip, lead(in_us) OVER w AS b_in, lead(out_us) OVER w AS b_out, lead(muted) OVER w AS b_muted FROM placed WINDOW w AS (PARTITION BY project_id ORDER BY pos))
+BOUND = f"""{PLACED.replace("placed AS (", "pictured AS (")}, {SOUNDED.replace("FROM placed", "FROM pictured")}, placed AS (SELECT project_id, pos, end_us, muted, a_clip AS clip_id, a_in AS in_us, a_out AS out_us FROM heard), {WORDS}, e AS (SELECT * FROM (SELECT *, lead(pos) OVER w AS b_pos, lead(clip_id) OVER w AS b_clip, lead(in_us) OVER w AS b_in, lead(out_us) OVER w AS b_out, lead(muted) OVER w AS b_muted FROM placed WINDOW w AS (PARTITION BY project_id ORDER BY pos))
  WHERE b_pos IS NOT NULL AND NOT (clip_id = b_clip AND abs(b_in - out_us) <= 33334 AND NOT muted AND NOT b_muted) AND NOT (muted AND b_muted)),
 la AS (SELECT e.project_id, e.pos, max_by(struct_pack(t := w.text, s := w.s_us, e := w.e_us), w.s_us) AS a FROM e JOIN words w ON NOT e.muted AND w.clip_id = e.clip_id AND w.s_us < e.out_us AND w.e_us > e.in_us GROUP BY ALL),
 fb AS (SELECT e.project_id, e.pos, min_by(struct_pack(t := w.text, s := w.s_us, e := w.e_us), w.s_us) AS b FROM e JOIN words w ON NOT e.b_muted AND w.clip_id = e.b_clip AND w.s_us < e.b_out AND w.e_us > e.b_in GROUP BY ALL),
@@ -231,12 +231,12 @@ BFLAGS = "list_filter([CASE WHEN f1 THEN 'out inside word' END, CASE WHEN f2 THE
 
 @query("cut_boundaries", f"WITH {BOUND} SELECT project_id, pos, at_us, last_word, out_margin_us, first_word, in_margin_us, replayed_us, array_to_string({BFLAGS}, ',') AS flags FROM bd")
 def cut_boundaries(spark, d):
-    return cat.cut_boundaries(placed(spark, d), words(spark, d)).withColumn("flags", F.array_join("flags", ","))
+    return cat.cut_boundaries(sounded(spark, d), words(spark, d)).withColumn("flags", F.array_join("flags", ","))
 
 
 @query("boundary_flag_counts", f"WITH {BOUND}, x AS (SELECT project_id, pos, unnest({BFLAGS}) AS flag FROM bd) SELECT flag, count(*) AS boundaries FROM x GROUP BY 1")
 def boundary_flag_counts(spark, d):
-    b = cat.cut_boundaries(placed(spark, d), words(spark, d))
+    b = cat.cut_boundaries(sounded(spark, d), words(spark, d))
     return b.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("boundaries"))
 
 

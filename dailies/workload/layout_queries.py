@@ -31,8 +31,8 @@ def cut_segments(spark, d):
 
 
 def placed(spark, d, **kw):
-    segs = segments(spark, d)
-    return layout.place_segments(segs, splits=plan_splits(segs, P, "pos"), **kw).withColumn("beat", F.col("beat_mod"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("project_id"), F.col("l_linenumber").cast("bigint").alias("pos"))
+    return layout.place_segments(segments(spark, d), splits=plan_splits(lines, P, "pos"), **kw).withColumn("beat", F.col("beat_mod"))
 
 
 @query("place_segments", f"WITH {PLACED} SELECT project_id, pos, clip_id, len_f, overlap_f, start_f, end_f, start_us, end_us FROM placed")
@@ -76,13 +76,32 @@ def beat_ending_at(spark, d):
     return layout.beat_ending_at(probes(spark, d), layout.beat_spans(placed(spark, d)), "t_us")
 
 
+#: Every third segment borrows the sound of another clip, every fourth is heard in part; where the sound is read, and what of it is audible.
+SOUNDED = """sounded AS (SELECT *, CASE WHEN pos % 3 = 1 THEN (clip_id * 7 + pos) % (SELECT count(*) FROM documents) ELSE clip_id END AS a_clip,
+  CASE WHEN pos % 3 = 1 THEN in_us + 1500000 ELSE in_us END AS a_in, CASE WHEN pos % 3 = 1 THEN out_us + 1500000 ELSE out_us END AS a_out FROM placed),
+heard AS (SELECT *, CASE WHEN pos % 4 = 2 THEN a_in + clip_id % 5 * 200000 ELSE a_in END AS h_in, CASE WHEN pos % 4 = 2 THEN least(a_out, a_out + 600000 - clip_id % 7 * 300000) ELSE a_out END AS h_out FROM sounded)"""
+
+
+def sounded(spark, d):
+    borrows, partly = F.col("pos") % 3 == 1, F.col("pos") % 4 == 2
+    shift = F.when(borrows, F.lit(1_500_000))
+    return placed(spark, d).withColumns({
+        "sound_clip_id": F.when(borrows, (F.col("clip_id") * 7 + F.col("pos")) % clips(spark, d)), "sound_in_us": F.col("in_us") + shift, "sound_out_us": F.col("out_us") + shift,
+        "heard_in_us": F.when(partly, F.col("in_us") + F.coalesce(shift, F.lit(0)) + F.col("clip_id") % 5 * 200_000), "heard_out_us": F.when(partly, F.col("out_us") + F.coalesce(shift, F.lit(0)) + 600_000 - F.col("clip_id") % 7 * 300_000),
+    })
+
+
+ON_SOUND = """onseg AS (SELECT g.project_id, g.pos, w.clip_id, w.pos AS word, w.text, start_us + (greatest(w.s_us, h_in) - a_in) // speed AS s_us, start_us + (least(w.e_us, h_out) - a_in) // speed AS e_us
+  FROM heard g JOIN words w ON g.a_clip = w.clip_id AND w.s_us < g.h_out AND w.e_us > g.h_in AND g.h_out > g.h_in WHERE NOT muted)"""
+
+
 ON_SEG = """onseg AS (SELECT g.project_id, g.pos, g.clip_id, w.pos AS word, w.text, start_us + (greatest(w.s_us, in_us) - in_us) // speed AS s_us, start_us + (least(w.e_us, out_us) - in_us) // speed AS e_us
   FROM placed g JOIN words w ON g.clip_id = w.clip_id AND w.s_us < g.out_us AND w.e_us > g.in_us {where})"""
 
 
-@query("speech_in_programme", f"""WITH {PLACED}, {WORDS}, {ON_SEG.format(where='WHERE NOT muted')}, {merged_sql('onseg', 'm', 400000, 150000, 'project_id')} SELECT * FROM m""")
+@query("speech_in_programme", f"""WITH {PLACED}, {SOUNDED}, {WORDS}, {ON_SOUND}, {merged_sql('onseg', 'm', 400000, 150000, 'project_id')} SELECT * FROM m""")
 def speech_in_programme(spark, d):
-    return layout.speech_in_programme(placed(spark, d), words(spark, d))
+    return layout.speech_in_programme(sounded(spark, d), words(spark, d))
 
 
 @query("captions_in_programme", f"""WITH {PLACED}, {WORDS}, {ON_SEG.format(where='')} SELECT * FROM onseg""")
@@ -100,18 +119,31 @@ def mutes(spark, d):
     )
 
 
-LOCAL = """loc AS (SELECT project_id, g.pos, g.clip_id, mute, start_us, muted, (2 * ((greatest(s_us, in_us) - in_us) // speed) + 100) // 200 * 100 AS ls, (2 * ((least(e_us, out_us) - in_us) // speed) + 100) // 200 * 100 AS le
- FROM placed g JOIN mutes m ON g.clip_id = m.clip_id AND m.s_us < g.out_us AND m.e_us > g.in_us)"""
+def local_sql(src: str, span: str, clip: str, low: str, high: str, start: str, step: int = 100) -> str:
+    at = lambda x: f"(2 * (({x} - {start}) // speed) + {step}) // {2 * step} * {step}"
+    return f"""loc AS (SELECT project_id, g.pos, m.clip_id, {span}, start_us, muted, {at(f"greatest(s_us, {low})")} AS ls, {at(f"least(e_us, {high})")} AS le
+ FROM {src} g JOIN m ON g.{clip} = m.clip_id AND m.s_us < g.{high} AND m.e_us > g.{low} AND g.{high} > g.{low})"""
 
 
-@query("segment_local_mutes", f"WITH {PLACED}, {MUTES}, {LOCAL} SELECT project_id, pos, clip_id, mute, ls AS s_us, le AS e_us FROM loc")
+@query("segment_local_mutes", f"WITH {PLACED}, {SOUNDED}, {MUTES}, m AS (SELECT * FROM mutes), {local_sql('heard', 'mute', 'a_clip', 'a_in', 'a_out', 'a_in')} SELECT project_id, pos, clip_id, mute, ls AS s_us, le AS e_us FROM loc")
 def segment_local_mutes(spark, d):
-    return layout.local_ranges(placed(spark, d), mutes(spark, d), "mute").drop("start_us", "muted")
+    return layout.local_ranges(sounded(spark, d), mutes(spark, d), "mute").drop("start_us", "muted")
+
+
+@query("segment_local_speech", f"WITH {PLACED}, {SOUNDED}, {WORDS}, m AS (SELECT clip_id, pos AS word, s_us, e_us FROM words), {local_sql('heard', 'word', 'a_clip', 'h_in', 'h_out', 'a_in')} SELECT project_id, pos, clip_id, word, ls AS s_us, le AS e_us FROM loc")
+def segment_local_speech(spark, d):
+    spoken = words(spark, d).select("clip_id", F.col("pos").alias("word"), "s_us", "e_us")
+    return layout.local_ranges(sounded(spark, d), spoken, "word", of="audible").drop("start_us", "muted")
+
+
+@query("audible_windows", f"WITH {PLACED}, {SOUNDED} SELECT project_id, pos, a_clip AS clip_id, (2 * ((h_in - a_in) // speed) + 100) // 200 * 100 AS s_us, (2 * ((greatest(h_in, h_out) - a_in) // speed) + 100) // 200 * 100 AS e_us FROM heard WHERE h_in > a_in OR h_out < a_out")
+def audible_windows(spark, d):
+    return layout.audible_windows(sounded(spark, d))
 
 
-@query("mutes_in_programme", f"WITH {PLACED}, {MUTES}, {LOCAL} SELECT project_id, pos, clip_id, mute, start_us + ls AS s_us, start_us + le AS e_us FROM loc WHERE NOT muted")
+@query("mutes_in_programme", f"WITH {PLACED}, {MUTES}, m AS (SELECT * FROM mutes), {local_sql('placed', 'mute', 'clip_id', 'in_us', 'out_us', 'in_us', 1)} SELECT project_id, pos, clip_id, mute, start_us + ls AS s_us, start_us + le AS e_us FROM loc WHERE NOT muted")
 def mutes_in_programme(spark, d):
-    return layout.mutes_in_programme(placed(spark, d), mutes(spark, d), "mute")
+    return layout.mutes_in_programme(sounded(spark, d), mutes(spark, d), "mute")
 
 
 def render_placed(spark, d):
