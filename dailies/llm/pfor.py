@@ -12,11 +12,12 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dailies.llm.units import UnitTable, groups
+from dailies.llm.units import UnitTable
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Ids of a block, and the share of them that its width must hold; the rest are exceptions.
@@ -130,8 +131,8 @@ class Words:
     first; letters and the signs that close them are separate words to it too. Lower-casing of ASCII is its own.
     """
 
-    #: Two signs in a row, which the tokenizer keeps together, and what only it takes for a sign.
-    SIGNS, HIDDEN = re.compile(r"[^\w\s][^\w\s]"), "_\x1c\x1d\x1e\x1f"
+    #: Two signs in a row, which the tokenizer keeps together, and what only it takes for a sign, or lower-cases to a letter and a mark.
+    SIGNS, HIDDEN = re.compile(r"[^\w\s][^\w\s]"), "_\x1c\x1d\x1e\x1f\u0130"
     CLOSING = "!#$%&()*+,-./:;=?]_|}~"
 
     def __init__(self, path: str, limit: int = 700_000):
@@ -178,15 +179,34 @@ class Words:
             if w.isascii() and "<|" not in w:
                 w = w.lower()
             head = w.rstrip(self.CLOSING)
-            if head is not w and head.isalpha():
+            if head is not w and head.isalpha() and "\u0130" not in head:
                 out += self.young.get(head) or self._stem(head)
                 w = w[len(head) :]
             out += self.young.get(w) or self._stem(w)
             ends.append(len(out))
         return np.array(out, np.int32), np.diff(np.array(ends, np.int64), prepend=0)
 
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.table.ids([self._units(t) for t in texts])
+    #: Texts of these signs only are cut by Arrow, which knows their classes as Python does; others are cut one by one.
+    BEYOND, PLAIN_SIGNS = r"[^\x00-\x7F\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]", r"[^0-9A-Za-z_\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}\s]"
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has. Only the distinct units of the texts are looked up."""
+        odd = pc.match_substring_regex(texts, self.BEYOND).to_numpy(zero_copy_only=False)
+        low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        for sign in "\n\t\r":
+            low = pc.replace_substring(low, sign, " ")
+        kept = pc.or_(pc.match_substring_regex(low, self.PLAIN_SIGNS * 2), pc.match_substring_regex(low, f"[{self.HIDDEN}]"))
+        apart = pc.replace_substring(pc.replace_substring(low, ",", " ,"), ".", " .")
+        lists = pc.split_pattern(pc.if_else(kept, low, apart), " ")
+        if odd.any():
+            slow = pa.array([self._units(t) for t in texts.filter(pa.array(odd)).to_pylist()], lists.type)
+            order = np.empty(len(texts), np.int64)
+            order[~odd], order[odd] = np.arange((~odd).sum()), (~odd).sum() + np.arange(odd.sum())
+            lists = pa.concat_arrays([lists.filter(pa.array(~odd)), slow]).take(pa.array(order))
+        coded = pc.dictionary_encode(lists.flatten())
+        ids, each = self.table.ids_of(coded.dictionary.to_pylist(), coded.indices.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum(pc.list_value_length(lists).to_numpy())]
+        return ids, np.diff(ends, prepend=0)
 
     def _units(self, text: str) -> list[str]:
         """Parts to encode apart: words, and where no two signs follow each other also the commas and full stops behind them."""
@@ -226,9 +246,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["part", "page", "first", "n_texts", "n_ids", "data"])
 
         for b in batches:
-            doc_ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-            for i, j in groups(texts, CHUNK):
-                ids, counts = words.ids(texts[i:j])
+            doc_ids, texts = b.column("doc_id").to_pylist(), b.column("text")
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+            cuts = np.unique(np.concatenate([[0, len(texts)], np.searchsorted(sizes, np.arange(CHUNK, int(sizes[-1]) if len(sizes) else 0, CHUNK), "right")]))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                ids, counts = words.ids(texts.slice(i, j - i))
                 closed = np.insert(ids, np.cumsum(counts), end_id)
                 keys += doc_ids[i:j]
                 held.append((counts + 1, closed))

@@ -70,6 +70,40 @@ class UnitTable:
         return ids, np.diff(np.concatenate([[0], bounds]))
 
 
+    #: Longer units are encoded each time and not kept, so that the table is bounded in characters too.
+    LONGEST = 64
+
+    def ids_of(self, distinct: list[str], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units given as places in a list of distinct ones, one after the other, and how many each unit has."""
+        rows = np.fromiter(map(self.rows.get, distinct, repeat(-1)), np.int64, len(distinct))
+        long = [i for i in np.flatnonzero(rows < 0).tolist() if len(distinct[i]) > self.LONGEST]
+        kept = np.ones(len(distinct), bool)
+        kept[long] = False
+        fresh = np.flatnonzero((rows < 0) & kept)
+        if len(fresh):
+            if len(self.rows) + len(fresh) > self.limit and 2 * len(self.rows) > self.limit:
+                self._shrink()
+                rows = np.fromiter(map(self.rows.get, distinct, repeat(-1)), np.int64, len(distinct))
+                fresh = np.flatnonzero((rows < 0) & kept)
+            new = [distinct[i] for i in fresh.tolist()]
+            first = len(self.rows)
+            self._put(new, *self.encode(new))
+            rows[fresh] = np.arange(first, first + len(new))
+        met = np.bincount(at, minlength=len(distinct))
+        self.met[rows[kept]] += met[kept]
+        starts, lengths = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        starts[kept], lengths[kept] = self.starts[rows[kept]], self.lengths[rows[kept]]
+        flat = self.flat
+        if long:  # few, behind what is kept
+            more, lengths[long] = self.encode([distinct[i] for i in long])
+            starts[long] = self.used + np.cumsum(lengths[long]) - lengths[long]
+            flat = np.concatenate([self.flat[: self.used], more])
+        each = lengths[at]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        return flat[np.arange(total) - np.repeat(ends - each - starts[at], each)], each
+
+
 def groups(texts: list[str], size: int) -> list[tuple[int, int]]:
     """Ranges of texts with about ``size`` characters together."""
     out, first, total = [], 0, 0

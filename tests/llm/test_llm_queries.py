@@ -3,6 +3,7 @@
 from collections import Counter
 
 import plain
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -194,7 +195,20 @@ def test_units_survive_a_full_table():
     library = pfor.Words(pfor.TOKENIZER, limit=50)
     texts = [" ".join(f"Word{chr(97 + (i * j) % 26)}{chr(97 + j % 26)}," for j in range(20)) for i in range(60)]
     for t in texts:
-        assert library.ids([t])[0].tolist() == library.library.encode(t, add_special_tokens=False).ids
+        assert library.ids(pa.array([t]))[0].tolist() == library.library.encode(t, add_special_tokens=False).ids
+
+
+def test_ids_of_mixed_signs():
+    """Against the library on random texts of ASCII, Latin-1, other scripts, marks, control signs and special tokens."""
+    import random
+
+    rng, words = random.Random(4), pfor.Words(pfor.TOKENIZER, limit=400)
+    signs = ["a", "B", "é", "Ä", "ß", "ÿ", "×", "÷", "7", "_", ",", ".", ";", "(", ")", "-", "'", '"', "#", " ", " ", "  ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "²", "½", "\u4e16", "\u0301", "\u0410", "\u2028", "\U0001f642", "<|", "|>", "</s>", "İ"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(3000)] + ["x" * 3000, "Ab," * 900, "", "word " * 2000 + "y" * 100]
+    ids, counts = words.ids(pa.array(texts))
+    ends = counts.cumsum()
+    for t, e, n in zip(texts, ends.tolist(), counts.tolist()):
+        assert ids[e - n : e].tolist() == words.library.encode(t, add_special_tokens=False).ids, t
 
 
 def test_secrets(spark, odd, odd_dir):
