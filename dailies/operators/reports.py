@@ -63,9 +63,9 @@ def footage_log(clips: DataFrame, transcripts: DataFrame, instructions: DataFram
 
 def rank_frames(frames: DataFrame, *, top: int = 12, splits: Splits | None = None) -> DataFrame:
     """Best thumbnail frames: flagged candidates first, then quality, then order; the report keeps ``top``."""
-    key = F.when(F.col("candidate"), 0).otherwise(1) * 1_000_000 - F.col("quality")
-    lined = running(frames.withColumn("__key", key.cast("bigint")), P, ["__key", "pos"], {"rank": ("sum", F.lit(1).cast("bigint"))}, splits)
-    return lined.where(F.col("rank") <= top).drop("__key")
+    keyed = frames.withColumns({"__late": F.when(F.col("candidate"), 0).otherwise(1).cast("bigint"), "__worse": -F.col("quality")})
+    lined = running(keyed, P, ["__late", "__worse", "pos"], {"rank": ("sum", F.lit(1).cast("bigint"))}, splits)
+    return lined.where(F.col("rank") <= top).drop("__late", "__worse")
 
 
 def compact_transcripts(transcripts: DataFrame, sentences: DataFrame, *, budget: int = 6_000) -> DataFrame:
