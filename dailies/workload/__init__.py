@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("interval_queries", "text_queries", "layout_queries", "ledger_queries", "source_queries", "catalogue_queries", "resolve_queries", "upgrade_queries", "report_queries", "rule_queries")
+MODULES = ("interval_queries", "text_queries", "layout_queries", "ledger_queries", "source_queries", "catalogue_queries", "resolve_queries", "upgrade_queries", "assembly_queries", "report_queries", "rule_queries")
 
 
 def load_all():
