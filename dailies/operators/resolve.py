@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,31 +12,68 @@ from dailies.functions.arith import idiv
 from dailies.operators.intervals import subtract_ranges
 from dailies.operators.joins import asof_join, interval_join
 from dailies.operators.ordered import Splits, ordered_fold, running
+from dailies.session import materialize
 
 P = ["project_id"]
 PIECES = "array<struct<clip:bigint,in_us:bigint,out_us:bigint,audio_in:bigint,audio_out:bigint,borrows:boolean>>"
 
 
-def _claim(state: dict, row) -> str | None:
-    """First failing rule of a spoken beat; sentences are claimed only when all of them pass."""
-    for s in row.sents:
-        if not s["known"]:
-            return "unknown_sentence"
-        if s["instruction"]:
-            return "instruction_sentence"
-        if (row.clip_id, s["n"]) in state["sentences"]:
-            return "sentence_reused"
-    numbers = [s["n"] for s in row.sents]
-    if any(b != a + 1 for a, b in zip(numbers, numbers[1:])):
-        return "sentences_not_contiguous"
-    state["sentences"].update((row.clip_id, n) for n in numbers)
-    if row.first_word == row.first_word and row.first_word is not None:
-        first, last = int(row.first_word), int(row.last_word)
-        taken = state["words"].setdefault(row.clip_id, [])
-        if any(first <= b and last >= a for a, b in taken):
-            return "words_reused"
-        taken.append((first, last))
-    return None
+def first_fit(ranges: DataFrame, keys: Sequence[str], order: str, lo: str, hi: str, *, splits: Splits | None = None) -> DataFrame:
+    """Closed ranges taken in ``order``, each unless it touches one already taken: keys, lo, hi, order of those taken.
+
+    Of equal ranges only the first can be taken, so copies are reduced before anything is ordered. Ranges that touch
+    nothing else restart the walk: only a chain of overlapping distinct ranges shares a task.
+    """
+    keys = list(keys)
+    once = ranges.groupBy(*keys, lo, hi).agg(F.min(order).alias(order))
+    lined = running(once, keys, [lo, hi], {"__r": ("max_before", F.col(hi))}, splits)
+    lined = lined.withColumn("__new", F.when(F.col(lo) <= F.col("__r"), 0).otherwise(1).cast("bigint"))
+    lined = running(lined, keys, [lo, hi], {"__island": ("sum", F.col("__new"))}, splits).drop("__r", "__new")
+
+    def step(state, row):
+        lows, highs = state
+        first, last = getattr(row, lo), getattr(row, hi)
+        at = bisect_right(lows, last)
+        if at and highs[at - 1] >= first:
+            return (False,)
+        lows.insert(at, first)
+        highs.insert(at, last)
+        return (True,)
+
+    walked = ordered_fold(lined, [*keys, "__island"], [order], lambda: ([], []), step, "taken boolean")
+    return walked.where("taken").select(*keys, lo, hi, order)
+
+
+def claim_errors(beats: DataFrame, *, splits: Splits | None = None) -> DataFrame:
+    """Spoken beats that are refused, with the first rule broken: project_id, pos, error.
+
+    ``beats``: project_id, pos, kind, clip_id, sents (n, known, instruction), first_word, last_word; (project_id, pos)
+    is unique. Sentences are checked in their order: unknown, instruction, claimed by an earlier beat; then that their
+    numbers follow each other. A beat that passes claims its sentences, and then its words, unless those were claimed.
+    What may claim is an unbroken range of one clip, so claims are settled for each chain of overlapping ranges, and
+    no project is walked.
+    """
+    sents = F.col("sents")
+    n = F.size(sents)
+    bad = F.transform(sents, lambda x, i: F.struct(i.alias("i"), F.when(~F.coalesce(x["known"], F.lit(False)), "unknown_sentence").when(x["instruction"], "instruction_sentence").alias("e")))
+    worst = F.get(F.filter(bad, lambda x: x["e"].isNotNull()), F.lit(0))
+    rest = F.greatest(n - 1, F.lit(0))
+    broken = F.exists(F.zip_with(F.slice(sents, 1, rest), F.slice(sents, 2, rest), lambda x, y: y["n"] != x["n"] + 1), lambda x: x)
+    spoken = materialize(beats.where("kind <> 'broll'").select(
+        *P, "pos", "clip_id", "first_word", "last_word", F.transform(sents, lambda x: x["n"]).alias("numbers"),
+        F.coalesce(worst["i"], n).alias("upto"), F.coalesce(worst["e"], F.when(broken, "sentences_not_contiguous")).alias("static")))
+    clip = [*P, "clip_id"]
+    able = spoken.where(F.col("static").isNull() & (F.size("numbers") > 0))
+    taken = first_fit(able.select(*clip, "pos", F.get("numbers", F.lit(0)).alias("lo"), F.element_at("numbers", -1).alias("hi")), clip, "pos", "lo", "hi", splits=splits)
+    taken = materialize(taken)
+    owner = taken.select(*clip, F.col("pos").alias("owner"), F.explode(F.sequence("lo", "hi")).alias("n"))
+    asked = spoken.select(*clip, "pos", F.explode(F.array_distinct(F.slice("numbers", F.lit(1), F.col("upto")))).alias("n"))
+    reused = asked.join(owner, [*clip, "n"]).where(F.col("owner") < F.col("pos")).select(*P, "pos").distinct().withColumn("reused", F.lit(True))
+    checked = spoken.join(reused, [*P, "pos"], "left").withColumn("error", F.when(F.col("reused"), "sentence_reused").otherwise(F.col("static")))
+    wordy = checked.where("error is null and first_word is not null").select(*clip, "pos", F.col("first_word").alias("lo"), F.col("last_word").alias("hi"))
+    heard = first_fit(wordy, clip, "pos", "lo", "hi", splits=splits).select(*P, "pos")
+    twice = wordy.join(heard, [*P, "pos"], "left_anti").select(*P, "pos", F.lit("words_reused").alias("error"))
+    return checked.where(F.col("error").isNotNull()).select(*P, "pos", "error").unionByName(twice)
 
 
 def _lay_out(clip: int, seg_in: int, seg_out: int, shots, dur_us: int, min_shot_us: int) -> list[dict]:
@@ -68,40 +106,42 @@ def resolve_beats(
     beats: DataFrame, *, fps: int = 30, pad_before_us: int = 300_000, pad_after_us: int = 450_000, min_shot_us: int = 800_000,
     splits: Splits | None = None,
 ) -> DataFrame:
-    """Walk every project's beats in order: claims, take joining and piece layout.
+    """Every project's beats in order: claims, take joining and piece layout.
 
-    Beats carry their geometry (from ``layout.speech_geometry``) and shots with resolved cut-in
-    points, so the walk only holds the claims and the previous take.  A beat joined to the one
-    before reports the meeting point; the earlier beat's last piece is shortened afterwards from
-    the next row, without a second walk.
+    Beats carry their geometry (from ``layout.speech_geometry``) and shots with resolved cut-in points. Claims are
+    settled first (:func:`claim_errors`). Then only beats that may join the one before share a walk: the next take of
+    the same clip, close behind it, both accepted. A joined beat reports the meeting point; the earlier beat's
+    last piece is shortened afterwards from the next row.
     """
     frame = 1_000_000 // fps
-
-    def start() -> dict:
-        return {"sentences": set(), "words": {}, "prev": None}
+    judged = beats.join(claim_errors(beats, splits=splits), [*P, "pos"], "left")
+    speaks = (F.col("kind") != "broll") & F.col("error").isNull()
+    last = F.struct(speaks.alias("speaks"), "clip_id", "last_us")
+    lined = running(judged, P, ["pos"], {"__p": ("lag", last)}, splits)
+    apart = F.col("first_us") - F.col("__p.last_us")
+    close = speaks & F.col("__p.speaks") & (F.col("__p.clip_id") == F.col("clip_id")) & (apart >= 0) & (apart < pad_before_us + pad_after_us)
+    lined = lined.withColumn("__new", F.when(close, 0).otherwise(1).cast("bigint"))
+    lined = running(lined, P, ["pos"], {"__takes": ("sum", F.col("__new"))}, splits).drop("__p", "__new")
 
     def step(state: dict, row):
         if row.kind == "broll":
-            state["prev"] = None
-            return None, None, None, None, [dict(clip=int(row.clip_id), in_us=int(row.seg_in), out_us=int(row.seg_out), audio_in=None, audio_out=None, borrows=False)]
-        error = _claim(state, row)
-        if error is not None:
-            state["prev"] = None
-            return error, None, None, None, []
+            return None, None, None, [dict(clip=int(row.clip_id), in_us=int(row.seg_in), out_us=int(row.seg_out), audio_in=None, audio_out=None, borrows=False)]
+        if row.error is not None:
+            return None, None, None, []
         seg_in, a0, joined = int(row.seg_in), int(row.a0), None
         prev = state["prev"]
-        if prev is not None and prev["clip"] == row.clip_id and 0 <= row.first_us - prev["last_us"] < pad_before_us + pad_after_us:
+        if prev is not None:
             meet = (prev["last_us"] + int(row.first_us)) // 2
             tail = prev["piece"]
             cut = tail["audio_out"] - meet
             if tail["out_us"] - cut - tail["in_us"] >= frame:
                 joined = seg_in = a0 = meet
         pieces = _lay_out(int(row.clip_id), seg_in, int(row.seg_out), row.shots, int(row.dur_us), min_shot_us)
-        state["prev"] = {"clip": row.clip_id, "last_us": int(row.last_us), "piece": pieces[-1]} if pieces else None
-        return None, joined, a0, int(row.a1), pieces
+        state["prev"] = {"last_us": int(row.last_us), "piece": pieces[-1]} if pieces else None
+        return joined, a0, int(row.a1), pieces
 
     walked = ordered_fold(
-        beats, P, ["pos"], start, step, f"error string; joined_us bigint; heard_in bigint; heard_out bigint; pieces {PIECES}"
+        lined, [*P, "__takes"], ["pos"], lambda: {"prev": None}, step, f"joined_us bigint; heard_in bigint; heard_out bigint; pieces {PIECES}"
     )
     after = running(walked, P, ["pos"], {"next_join": ("lead", F.col("joined_us"))}, splits)
     last = F.element_at("pieces", -1)
@@ -298,41 +338,49 @@ def location_cards(
 ) -> DataFrame:
     """Beats that get a card: on a change of place, unless that place was carded lately.
 
-    ``beats``: project_id, pos, s_us, e_us, place, cutaway.  A beat too short hands the card to the
-    next long enough beat of the same unbroken run; that target is found with windows, the walk only
-    keeps the active place and when each place was last shown.
+    ``beats``: project_id, pos, s_us, e_us, place, cutaway, in programme order. A beat too short hands the card to the
+    next long enough beat of the same unbroken run. A cutaway to a place neither changes the place nor gets a card, so
+    the active place is the last one of the beats that count. What is left for each place is a rule on its own
+    candidates: the next card is the first at least ``min_gap_us`` after this one. It is found for all at once, and the
+    chain from each candidate that surely gets its card is followed by pointers doubled in each round.
     """
+    if min_gap_us + offset_us <= 0:
+        raise ValueError("cards need a gap")
     total = beats.groupBy(*P).agg(F.max("e_us").alias("total"))
     b = beats.join(total, P).withColumn("to_us", F.greatest(F.lit(open_us), F.col("total") - end_us))
-    changed = ~F.col("place").eqNullSafe(F.col("__pp")) | F.col("__p0").isNull()
-    b = running(b, P, ["pos"], {"__pp": ("lag", F.col("place")), "__p0": ("lag", F.col("pos"))}, splits)
-    b = running(b.withColumn("__new", changed.cast("bigint")), P, ["pos"], {"stretch": ("sum", F.col("__new"))}, splits)
+    inside = (F.col("s_us") >= open_us) & (F.col("s_us") < F.col("to_us"))
+    b = b.select(*P, "pos", "s_us", "e_us", "to_us", "place", F.coalesce("cutaway", F.lit(False)).alias("cutaway"), inside.alias("inside"))
+    b = running(b, P, ["pos"], {"__p": ("lag", F.struct("place")), "__in": ("sum", F.col("inside").cast("bigint"))}, splits)
+    changed = F.col("__p").isNull() | ~F.col("place").eqNullSafe(F.col("__p.place"))
+    counts = (F.col("__in") > 0) & (~F.col("inside") | ~F.col("cutaway") | F.col("place").isNull())
+    b = b.withColumn("__new", changed.cast("bigint"))
+    b = running(b, P, ["pos"], {"stretch": ("sum", F.col("__new")), "__a": ("last_before", F.when(counts, F.struct("place")))}, splits)
     fits = F.when((F.col("e_us") - F.col("s_us") >= least_us) & (F.col("s_us") < F.col("to_us")), F.struct("pos", F.col("s_us").alias("s")))
-    b = running(b, ["project_id", "stretch"], ["pos"], {"__t": ("next", fits)}, splits)
-    b = b.select("project_id", "pos", "s_us", "to_us", "place", "cutaway", F.col("__t.pos").alias("target_pos"), F.col("__t.s").alias("target_us"))
-    none = object()
-
-    def step(state, row):
-        place = row.place
-        if not open_us <= row.s_us < row.to_us:
-            state["active"] = place
-            return None, None
-        if not state["entered"]:
-            state["active"], state["entered"] = none, True
-        if place is None or place == state["active"]:
-            state["active"] = place
-            return None, None
-        if row.cutaway:
-            return None, None
-        state["active"] = place
-        if row.s_us - state["shown"].get(place, -(10**18)) < min_gap_us or row.target_pos is None or row.target_pos != row.target_pos:
-            return None, None
-        at = int(row.target_us) + offset_us
-        state["shown"][place] = at
-        return int(row.target_pos), at
-
-    walked = ordered_fold(b, P, ["pos"], lambda: {"active": none, "entered": False, "shown": {}}, step, "card_pos bigint; at_us bigint")
-    return walked.where(F.col("card_pos").isNotNull()).select("project_id", "pos", "place", "card_pos", "at_us")
+    b = running(b, [*P, "stretch"], ["pos"], {"__t": ("next", fits)}, None)
+    arrives = F.col("inside") & F.col("place").isNotNull() & ~F.col("cutaway") & (F.col("__a").isNull() | ~F.col("place").eqNullSafe(F.col("__a.place")))
+    c = b.where(arrives & F.col("__t").isNotNull()).select(*P, "place", "pos", "s_us", F.col("__t.pos").alias("card_pos"), (F.col("__t.s") + offset_us).alias("at_us"))
+    key = [*P, "place"]
+    c = running(c, key, ["s_us", "pos"], {"__r": ("max_before", F.col("at_us"))}, None)
+    sure = F.col("__r").isNull() | (F.col("s_us") - F.col("__r") >= min_gap_us)
+    c = running(c.withColumn("__sure", sure.cast("bigint")), key, ["s_us", "pos"], {"island": ("sum", F.col("__sure"))}, None)
+    c = materialize(c.drop("__r").withColumn("free_us", F.col("at_us") + min_gap_us))
+    later = asof_join(c.select(*key, "island", "pos", "free_us"), c.select(*key, "island", "s_us", F.col("pos").alias("to_pos")), [*key, "island"], "free_us", "s_us", ["to_pos"], direction="forward")
+    carded = follow(c.where("__sure = 1").select(*P, "pos"), later.where(F.col("to_pos").isNotNull()).select(*P, "pos", "to_pos"))
+    return c.join(carded, [*P, "pos"]).select(*P, "pos", "place", "card_pos", "at_us")
+
+
+def follow(heads: DataFrame, steps: DataFrame) -> DataFrame:
+    """All positions on the chains that start at ``heads`` (project_id, pos) and go on by ``steps`` (project_id, pos, to_pos).
+
+    Each round joins the reached positions with the pointers and the pointers with themselves, so that a chain of any
+    length takes as many rounds as its length has binary digits. Chains must not meet, steps lead forward.
+    """
+    reached, jump = heads, materialize(steps)
+    while not jump.isEmpty():
+        reached = materialize(reached.unionByName(reached.join(jump, [*P, "pos"]).select(*P, F.col("to_pos").alias("pos"))))
+        onward = jump.select(*P, F.col("pos").alias("to_pos"), F.col("to_pos").alias("further"))
+        jump = materialize(jump.join(onward, [*P, "to_pos"]).select(*P, "pos", F.col("further").alias("to_pos")))
+    return reached
 
 
 def replace_captions(old: DataFrame, new: DataFrame, *, kind: str = "location", splits: Splits | None = None) -> DataFrame:

@@ -181,7 +181,16 @@ def absorb_broll(spark, d):
     return resolve.absorb_broll(b)
 
 
-@query("location_cards")
+@query("location_cards", f"""WITH RECURSIVE {PLACED}, b AS (SELECT project_id, pos, start_us AS s, end_us AS e, CASE WHEN beat_mod > 0 THEN 'place' || (beat_mod % 3) ELSE '' END AS place, clip_id % 9 = 0 AS cutaway, row_number() OVER (PARTITION BY project_id ORDER BY pos) AS rn,
+  greatest(500000, max(end_us) OVER (PARTITION BY project_id) - 1000000) AS to_us FROM placed),
+n AS (SELECT *, CASE WHEN place = lag(place) OVER (PARTITION BY project_id ORDER BY pos) THEN 0 ELSE 1 END AS nw FROM b), st AS (SELECT *, sum(nw) OVER (PARTITION BY project_id ORDER BY pos) AS stretch FROM n),
+tg AS (SELECT *, min(CASE WHEN e - s >= 1500000 AND s < to_us THEN pos END) OVER (PARTITION BY project_id, stretch ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS card_pos FROM st),
+r AS (SELECT tg.*, x.s + 400000 AS at_us, tg.s >= 500000 AND tg.s < tg.to_us AS elig FROM tg LEFT JOIN b x ON x.project_id = tg.project_id AND x.pos = tg.card_pos),
+w AS (SELECT DISTINCT project_id, 0::BIGINT AS rn, '?' AS active, false AS entered, -1000000000000::BIGINT AS s0, -1000000000000::BIGINT AS s1, -1000000000000::BIGINT AS s2, 0::BIGINT AS pos, '' AS place, 0::BIGINT AS card_pos, 0::BIGINT AS at_us, false AS card FROM b UNION ALL
+ SELECT project_id, rn, CASE WHEN elig AND place <> '' AND place <> act AND cutaway THEN act ELSE place END, entered, CASE WHEN card AND place = 'place0' THEN at_us ELSE s0 END, CASE WHEN card AND place = 'place1' THEN at_us ELSE s1 END, CASE WHEN card AND place = 'place2' THEN at_us ELSE s2 END, pos, place, card_pos, at_us, card
+ FROM (SELECT *, coalesce(elig AND place <> '' AND place <> act AND NOT cutaway AND card_pos IS NOT NULL AND s - CASE place WHEN 'place0' THEN s0 WHEN 'place1' THEN s1 ELSE s2 END >= 6000000, false) AS card
+  FROM (SELECT r.*, CASE WHEN elig AND NOT w.entered THEN '?' ELSE w.active END AS act, w.entered OR elig AS entered, w.s0, w.s1, w.s2 FROM w JOIN r ON r.project_id = w.project_id AND r.rn = w.rn + 1)))
+SELECT project_id, pos, place, card_pos, at_us FROM w WHERE card""")
 def location_cards(spark, d):
     k = F.col("beat_mod")
     b = placed(spark, d).select("project_id", "pos", F.col("start_us").alias("s_us"), F.col("end_us").alias("e_us"), F.when(k > 0, F.concat(F.lit("place"), (k % 3).cast("string"))).alias("place"), (F.col("clip_id") % 9 == 0).alias("cutaway"))
