@@ -37,13 +37,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a shared folder")
 
 
+def checkpoint_path(spark: SparkSession) -> str:
+    """The shared folder for tables and files of a run."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a result that several branches read to the shared checkpoint folder, and read it back.
 
     Computed once and columnar; a lost executor costs a re-read, not the lineage behind it.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_path(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dailies.functions.text import srt_time
+from dailies.session import materialize
 
 
 def srt_documents(cues: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -21,7 +24,40 @@ def srt_documents(cues: DataFrame, keys: Sequence[str], order: str) -> DataFrame
 
 
 def replace_projects(df: DataFrame, path: str, *, project: str = "project_id") -> None:
-    """Overwrite only the projects present in ``df``; the others stay as they are."""
+    """Overwrite only the projects present in ``df``; the others stay as they are.
+
+    Rows are first dealt out by project, a large one over several tasks, so that small projects get one file each.
+    """
     (
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(project).parquet(path)
+        df.hint("rebalance", project).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(project).parquet(path)
     )
+
+
+def versioned_projects(path: str, *, project: str = "project_id", version: str = "version") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` writer that keeps the latest version of every project in a table partitioned by project.
+
+    A batch holds whole projects, possibly in several versions; the greatest one stays, and replaces a stored one that
+    is not newer. So a batch that is played again after a failure, or late, leaves the table's rows as they are, and
+    projects not in the batch are never rewritten. A version must have the same rows whenever it comes.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = batch.groupBy(project).agg(F.max(version).alias("__new"))
+        stored = _table_at(spark, path, batch.schema)
+        if stored is not None:
+            old = stored.join(newest.select(project), project, "left_semi").groupBy(project).agg(F.max(version).alias("__old"))
+            newest = newest.join(old, project, "left").where(F.col("__old").isNull() | (F.col("__new") > F.col("__old"))).drop("__old")
+        kept = batch.join(newest, project).where(F.col(version) == F.col("__new")).select(*batch.columns)
+        replace_projects(materialize(kept), path, project=project)
+
+    return write
+
+
+def _table_at(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise

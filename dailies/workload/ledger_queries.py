@@ -176,7 +176,11 @@ def noise_classes(spark, d):
     return media.classify_noise(lv.select("clip_id", "snr_db", ((F.col("clip_id") % 10) / F.lit(10.0)).alias("low_band")))
 
 
-@query("low_band_ratio")
+@query("low_band_ratio", """WITH c AS (SELECT count(*) AS k FROM documents), s AS (SELECT event_id % k AS clip_id, (event_id // k) // 20000 AS stretch, event_id // k AS pos, value AS x FROM events, c),
+r AS (SELECT clip_id, stretch, x, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY clip_id, stretch) AS n FROM s WINDOW w AS (PARTITION BY clip_id, stretch ORDER BY pos)),
+h AS (SELECT clip_id, stretch, i, n, x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / greatest(n - 1, 1))) AS y, unnest(range(0, n // 2 + 1)) AS k FROM r),
+p AS (SELECT clip_id, stretch, n, k, sum(y * cos(2 * pi() * k * i / n)) ** 2 + sum(y * sin(2 * pi() * k * i / n)) ** 2 AS e FROM h GROUP BY ALL)
+SELECT clip_id, stretch, CASE WHEN n < 2 OR sum(e) <= 1e-18 THEN 0.0 ELSE round(coalesce(sum(e) FILTER (WHERE k * 1000.0::DOUBLE / n < 150), 0) / sum(e), 6) END::DOUBLE AS low_band FROM p GROUP BY clip_id, stretch, n""")
 def low_band_ratio(spark, d):
     e, n = F.col("event_id"), clips(spark, d)
     samples = table(spark, d, "events").select((e % n).alias("clip_id"), idiv(e, n).alias("pos"), F.col("value").alias("x"))

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 
+from dailies.functions.arith import idiv
+from dailies.session import checkpoint_path, materialize
+from dailies.sources import audio, sinks
 from dailies.sources import documents as docs
 from dailies.workload.adapter import SEGMENTS, WORDS, segments, table, transcripts
 from dailies.workload.registry import query
@@ -106,8 +113,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY position) AS
 fr AS (SELECT p.project_id, i AS number, row_number() OVER (PARTITION BY p.project_id ORDER BY i) AS k FROM (SELECT DISTINCT project_id FROM f) p, range(1, 200) r(i) WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.project_id = p.project_id AND g.number = i))
 SELECT project_id, source_file, position, number, false AS is_new FROM n WHERE number IS NOT NULL UNION ALL SELECT k.project_id, source_file, position, fr.number, true FROM k JOIN fr USING (project_id, k)""")
 def assign_clip_numbers(spark, d):
-    from dailies.operators.ordered import running
-
+    
     files = table(spark, d, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("source_file"), F.unix_date(F.to_date("o_orderdate")).cast("bigint").alias("recorded"))
     known = files.where(F.col("source_file") % 3 == 0)
     registry = running(known, ["project_id"], ["source_file"], {"r": ("sum", F.lit(1).cast("bigint"))}).select("project_id", "source_file", (F.col("r") * 2 + F.col("project_id") % 2).alias("number"))
@@ -141,3 +147,37 @@ def recover_json(spark, d):
         .when(k == 3, F.concat(F.lit("```json\n{broken\n``` "), "props")).otherwise(F.lit("nothing { here"))
     )
     return docs.recover_json(a.select("answer_id", text.alias("doc")))
+
+
+@query("wav_blocks", """WITH r AS (SELECT user_id AS clip_id, CAST(round(value * 100) AS BIGINT) % 60000 - 30000 AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
+g AS (SELECT clip_id, i // 10 AS block, count(*) AS n, sum((x / 32768.0::DOUBLE) ** 2) AS sum_sq, min(x)::DOUBLE AS lo, max(x)::DOUBLE AS hi FROM r GROUP BY ALL)
+SELECT clip_id, block, block * 10000 AS s_us, block * 10000 + n * 1000 AS e_us, n, sum_sq, lo, hi FROM g""")
+def wav_blocks(spark, d):
+    """Every user's events as the samples of a file in the shared folder, read back in byte ranges."""
+    folder = f"{checkpoint_path(spark)}/wav-{uuid.uuid4().hex}"
+    x = (F.round(F.col("value") * 100).cast("bigint") % 60_000 - 30_000).cast("int")
+
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        where, root = audio.locate(folder)
+        where.create_dir(root, recursive=True)
+        path = f"{root}/{key[0]}.wav"
+        with where.open_output_stream(path) as out:
+            out.write(audio.wav_bytes(pdf.sort_values("event_id")["x"].to_numpy(), 1_000))
+        return pd.DataFrame({"path": [path]})
+
+    materialize(table(spark, d, "events").select("user_id", "event_id", x.alias("x")).groupBy("user_id").applyInPandas(write, "path string"))
+    audio.register_audio(spark)
+    blocks = spark.read.format("wav_blocks").option("block_ms", 10).option("split_bytes", 1 << 20).load(folder)
+    return blocks.select(F.regexp_extract("path", r"(-?\d+)\.wav$", 1).cast("bigint").alias("clip_id"), "block", "s_us", "e_us", "n", "sum_sq", "lo", "hi")
+
+
+@query("project_table", "SELECT user_id AS project_id, event_id, event_id // 500 AS version, event_type FROM events QUALIFY version = max(version) OVER (PARTITION BY user_id)")
+def project_table(spark, d):
+    """Versions of projects arriving in two batches, the first one played again; the table holds the latest of each."""
+    e = F.col("event_id")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("project_id"), "event_id", idiv(e, 500).alias("version"), "event_type")
+    path = f"{checkpoint_path(spark)}/projects-{uuid.uuid4().hex}"
+    write = sinks.versioned_projects(path)
+    for number, odd in ((0, 0), (1, 1), (0, 0)):
+        write(rows.where(F.col("version") % 2 == odd), number)
+    return spark.read.schema(rows.schema).parquet(path)

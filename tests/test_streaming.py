@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from dailies.sources import sinks
 from dailies.streaming import stateful
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -41,3 +42,34 @@ def test_status_stream(spark, tmp_path):
     rows = [[(1, "plan", 1, 1, "running")], [(1, "plan", 3, 3, "done")], [(1, "plan", 2, 2, "error")]]
     out = run(spark, tmp_path, rows, "clip_id long, stage string, ts long, event_id long, status string", stateful.status_stream, "sta", "complete")
     assert [(r.clip_id, r.stage, r.status) for r in out] == [(1, "plan", "done")]
+
+
+def test_project_table_survives_replay(spark, tmp_path):
+    schema, src, out, ck = "project_id long, item long, version long", str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "ck")
+    write = sinks.versioned_projects(out)
+    seen = []
+
+    def batch(df, number):
+        write(df, number)
+        seen.append((df.collect(), number))
+
+    def go():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", ck).start()
+        q.processAllAvailable()
+        q.stop()
+
+    def table():
+        return sorted((r.project_id, r.item, r.version) for r in spark.read.parquet(out).collect())
+
+    add = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    add([(1, 1, 1), (1, 2, 1), (2, 1, 1), (1, 1, 2)])
+    go()
+    assert table() == [(1, 1, 2), (2, 1, 1)]
+    add([(2, 5, 3), (2, 6, 3), (3, 1, 1)])
+    go()  # a new run from the checkpoint sees only the new file
+    after = [(1, 1, 2), (2, 5, 3), (2, 6, 3), (3, 1, 1)]
+    assert table() == after and [n for _, n in seen] == [0, 1]
+    for rows, number in [*seen, seen[0]]:
+        write(spark.createDataFrame(rows, schema), number)
+        assert table() == after
