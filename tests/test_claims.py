@@ -101,3 +101,49 @@ def test_cards_are_those_of_a_walk(spark):
 def test_cards_of_nothing(spark):
     df = spark.createDataFrame([], "project_id long, pos long, s_us long, e_us long, place string, cutaway boolean")
     assert resolve.location_cards(df).collect() == []
+
+
+GEOMETRY = BEATS + ", first_us long, last_us long, dur_us long, seg_in long, seg_out long, a0 long, a1 long, uid string, shots array<struct<clip:long,in_us:long,out_us:long,point_us:long,limit_us:long>>"
+
+
+def plain_resolve(rows, frame=33_333):
+    """The walk over a project in order: what each beat reports, and its pieces once the next take met it."""
+    errors, out, prev, project = plain_errors([r[:7] for r in rows]), {}, None, None
+    for r in sorted(rows, key=lambda r: r[:2]):
+        p, pos, kind, clip, _, _, _, first, last, dur, seg_in, seg_out, a0, a1, _, shots = r
+        if p != project:
+            project, prev = p, None
+        if kind == "broll" or (p, pos) in errors:
+            out[p, pos] = (errors.get((p, pos)), None, None if kind != "broll" else [(clip, seg_in, seg_out, None)])
+            prev = None
+            continue
+        joined = None
+        if prev and prev[1] == clip and 0 <= first - prev[2] < 750_000:
+            meet, tail = (prev[2] + first) // 2, prev[3]
+            cut = tail["audio_out"] - meet
+            if tail["out_us"] - cut - tail["in_us"] >= frame:
+                joined = seg_in = a0 = meet
+                tail["out_us"] -= cut
+                tail["audio_out"] = meet
+        pieces = resolve._lay_out(clip, seg_in, seg_out, [dict(zip(("clip", "in_us", "out_us", "point_us", "limit_us"), s)) for s in shots], dur, 800_000)
+        out[p, pos] = (None, joined, pieces)
+        prev = (p, clip, last, pieces[-1]) if pieces else None
+    flat = lambda ps: [x if isinstance(x, tuple) else (x["clip"], x["in_us"], x["out_us"], x["audio_out"]) for x in ps or []]
+    return {k: (e, j, flat(ps)) for k, (e, j, ps) in out.items()}
+
+
+def test_resolved_beats_are_those_of_a_walk(spark):
+    rng, rows, at = random.Random(8), [], 1_000_000
+    for pos in range(600):
+        at += rng.choice([0, 100_000, 300_000, 700_000, 760_000, 2_000_000])
+        first, last = at, at + rng.choice([20_000, 400_000, 1_500_000, 3_000_000])
+        at = last
+        shots = [(9, 0, 1_000_000, first + 100_000, 1_300_000)] if rng.random() < 0.3 else []
+        n = pos if rng.random() < 0.9 else max(1, pos - 1)
+        rows.append((1 if pos < 500 else 2, pos, rng.choice(["speech"] * 9 + ["broll"]), 1 if rng.random() < 0.9 else 2, [(n, True, False)], n * 10, n * 10 + 5, first, last, 10**10, first - 300_000, last + 450_000, first - 100_000, last + 100_000, f"u{pos}", shots))
+    got = {
+        (r.project_id, r.pos): (r.error, r.joined_us, [(p.clip, p.in_us, p.out_us, p.audio_out) for p in r.pieces])
+        for r in resolve.resolve_beats(spark.createDataFrame(rows, GEOMETRY)).collect()
+    }
+    want = plain_resolve(rows)
+    assert got == want and sum(j is not None for _, j, _ in want.values()) > 50
