@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from dailies.operators import ledger
 from dailies.sources import sinks
 from dailies.streaming import stateful
 
@@ -73,3 +74,24 @@ def test_project_table_survives_replay(spark, tmp_path):
     for rows, number in [*seen, seen[0]]:
         write(spark.createDataFrame(rows, schema), number)
         assert table() == after
+
+
+def test_admission_restarts_from_its_checkpoint(spark, tmp_path):
+    schema = "project_id long, charge long, ts timestamp, usd_micro long, cap_micro long"
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+
+    def go(batches):
+        for batch in batches:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = stateful.admit_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").start()
+        q.processAllAvailable()
+        q.stop()
+
+    go([[(1, 3, at(3), 50, 100), (1, 1, at(1), 60, 100)]])
+    go([[(1, 2, at(2), 70, 100), (1, 4, at(4), 40, 100)], [(2, 9, at(9000), 1, 10)]])
+    go([[(2, 10, at(20000), 1, 10)], [(2, 11, at(30000), 1, 10)]])
+    got = [(r.charge, r.accepted) for r in spark.read.parquet(out).collect() if r.project_id == 1]
+    charges = spark.createDataFrame([(1, 3, 50, 100), (1, 1, 60, 100), (1, 2, 70, 100), (1, 4, 40, 100)], "project_id long, charge long, usd_micro long, cap_micro long")
+    batch = [(r.charge, r.accepted) for r in ledger.admit_charges(charges, ["project_id"], ["charge"]).collect()]
+    assert sorted(got) == sorted(batch) == [(1, True), (2, False), (3, False), (4, True)]
