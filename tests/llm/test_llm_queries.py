@@ -1,5 +1,7 @@
 """Each registered query against a plain version on odd rows, and on empty tables."""
 
+import math
+import random
 from collections import Counter
 
 import plain
@@ -74,9 +76,42 @@ NOTICES = {
     "Creative Commons Attribution 4.0 International": "creative-commons",
     "Creative Commons Zero (CC0) Public Domain Dedication": "cc0",
     "Copyright (c) 2020 A. All rights reserved.": "notice,reserved",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc-family",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.": "mit-family",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0": "epl-family",
+    "This is free and unencumbered software released into the public domain.": "public-domain",
+    "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.": "apache-2.0",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "creative-commons",
+    "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.": "cc0",
+    "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.": "notice",
 }
 
 
+def contained(text, templates, threshold=0.8):
+    """Largest share of each label's sentences in a block of 64 words that starts every 32, by plain sets."""
+    words, best = text.split(), {}
+    for i in range(0, len(words), licenses.STRIDE):
+        block = set(words[i : i + licenses.BLOCK])
+        for label, sentences in templates.items():
+            for t in map(set, map(str.split, sentences)):
+                if len(t & block) >= math.ceil(threshold * len(t) - 1e-9):
+                    best[label] = max(best.get(label, 0.0), len(t & block) / len(t))
+    return best
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_filters_lose_no_block(spark, threshold):
+    """Few words, so that prefixes, lengths and positions meet in every way."""
+    rnd = random.Random(7)
+    letters = [f"w{i}" for i in range(12)]
+    templates = {f"t{i}": tuple(" ".join(rnd.choices(letters, k=rnd.randint(1, 9))) for _ in range(3)) for i in range(8)}
+    texts = [" ".join(rnd.choices(letters, weights=range(1, 13), k=rnd.randint(0, 5)) + ["z"] * rnd.choice((0, 40, 70)) + rnd.choices(letters, k=rnd.randint(0, 4))) for _ in range(150)]
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), {}, templates, threshold).collect()
+    want = [contained(t, templates, threshold) for t in texts]
+    assert {r.doc_id: (r.labels, r.score) for r in got} == {i: (",".join(sorted(b)), max(b.values(), default=0.0)) for i, b in enumerate(want)}
+
+
 def test_notices_get_no_label_of_another_licence(spark):
     docs = spark.createDataFrame(list(enumerate(NOTICES)), "doc_id bigint, text string")
     got = {r.doc_id: r.labels for r in licenses.license_scan(docs).collect()}
