@@ -38,8 +38,8 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256) -> Da
     Turns are ordered by turn (null first), role and text; null role and text are empty, a null conv_id is a
     conversation of its own, repeated rows are repeated turns. Prefix sums of token counts choose the spans: a turn
     belongs to the stride of tokens that its last token falls into, so spans are made of whole turns. A window
-    holds, in order: the conversation's first turn if its role is ``system``, turns before the span whose tokens fit
-    into ``history``, and the span. The first two are repeated there and masked; the loss mask covers the texts of the
+    holds, in order: the conversation's first turn if its role is ``system``, the turns before the span (of however many
+    spans) that begin at most ``history`` tokens before it, and the span. The first two are repeated there and masked; the loss mask covers the texts of the
     span's ``assistant`` turns, so each is a target once. A window keeps to ``budget`` tokens unless one turn is longer
     than a stride (half of what system turn and history leave); a turn is never cut.
 
@@ -61,12 +61,16 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256) -> Da
     stride = F.greatest(F.lit(64), F.floor((F.lit(budget - history) - F.coalesce("system_tokens", F.lit(0))) / 2))
     rows = materialize(rows.select("conv_id", "role", "text", "tokens", "upto", F.floor((F.col("upto") - 1) / stride).alias("window")))
 
+    history = max(history, 1)
     spans = materialize(rows.groupBy("conv_id", "window").agg(F.min(F.col("upto") - F.col("tokens")).alias("start"), F.max("upto").alias("stop")))
-    ended = join_keyed(rows, spans.select("conv_id", "window", "stop"), names=("conv_id", "window"))
-    first_system = (F.col("upto") == F.col("tokens")) & (F.col("role") == "system")
-    late = ended.filter((F.col("stop") - F.col("upto") + F.col("tokens") <= history) & ~first_system).drop("window")
-    follow = spans.select("conv_id", F.col("start").alias("stop"), "window")
-    again = join_keyed(late, follow, names=("conv_id", "stop")).select("conv_id", "window", F.lit(1).alias("part"), "upto", "role", "text", "tokens")
+    # a span that starts at s repeats the turns within [s - history, s]; a turn meets such s in two cells of that width at most
+    begun = F.col("upto") - F.col("tokens")
+    first_system = (begun == 0) & (F.col("role") == "system")
+    near = rows.filter((F.col("tokens") <= history) & ~first_system).withColumn("begun", begun).drop("window")
+    near = near.withColumn("cell", F.explode(F.array(F.floor(F.col("begun") / history), F.floor(F.col("begun") / history) + 1)))
+    follow = spans.filter("start > 0").select("conv_id", "window", F.col("start").alias("s"), F.floor(F.col("start") / history).alias("cell"))
+    again = join_keyed(near, follow, names=("conv_id", "cell")).filter((F.col("upto") <= F.col("s")) & (F.col("s") - F.col("begun") <= history))
+    again = again.select("conv_id", "window", F.lit(1).alias("part"), "upto", "role", "text", "tokens")
     head = join_keyed(spans.filter("start > 0"), system, names=("conv_id",))
     head = head.select("conv_id", "window", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("upto"), F.lit("system").alias("role"), F.col("system").alias("text"), F.col("system_tokens").alias("tokens"))
     pieces = rows.select("conv_id", "window", F.lit(2).alias("part"), "upto", "role", "text", "tokens").unionByName(again).unionByName(head)
