@@ -22,6 +22,8 @@ BITMAP = 22
 RULED_OUT = -1e8
 #: Characters handled at a time.
 CHUNK = 1 << 21
+#: Words of more characters rarely have others of their length: their substrings are looked up together, WINDOW ends at a time.
+LONG, WINDOW = 64, 1 << 16
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -88,11 +90,15 @@ class Pieces:
         return (SPACE + text.replace(" ", " " + SPACE).replace("\n", " \n")).split(" ")
 
     def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each word, one after the other, and their counts. Words of one length advance together."""
+        """Ids of each word, one after the other, and their counts. Words of one length advance together, a long one alone."""
         out: list = [None] * len(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(sizes):
             where = np.flatnonzero(sizes == n)
+            if n > LONG:
+                for i in where:
+                    out[i] = self._alone(words[i])
+                continue
             if not n:
                 for i in where:
                     out[i] = []
@@ -146,6 +152,57 @@ class Pieces:
             plain[i] = [x for p in np.flatnonzero(ids[i] > -2) for x in ([int(ids[i, p])] if ids[i, p] >= 0 else self._bytes(words[i][p]))]
         return plain
 
+    def _found(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every piece in a stretch of code points: end, size and place among the pieces (-1: a character without one), by end, longest first."""
+        sub, ends, sizes, places = points.copy(), [], [], []
+        for size in range(1, min(self.longest, len(points)) + 1):
+            if size > 1:
+                sub = sub[:-1] * MUL + points[size - 1 :]
+            keys = (sub + np.uint64(size)) * MIX
+            maybe = np.flatnonzero(self.seen[keys >> np.uint64(64 - BITMAP)])
+            at = np.searchsorted(self.keys, keys[maybe])
+            at[at == len(self.keys)] = 0
+            good = self.keys[at] == keys[maybe]
+            starts, at = maybe[good], at[good]
+            if size == 1:
+                lone = np.setdiff1d(np.arange(len(points)), starts, assume_unique=True)
+                starts, at = np.concatenate([starts, lone]), np.concatenate([at, np.full(len(lone), -1)])
+            ends.append(starts + size)
+            sizes.append(np.full(len(starts), size))
+            places.append(at)
+        end, size, at = np.concatenate(ends), np.concatenate(sizes), np.concatenate(places)
+        order = np.lexsort((-size, end))
+        return end[order], size[order], at[order]
+
+    def _alone(self, word: str) -> list[int]:
+        """Best cut of one long word: look-ups are vectors over its places, maxima are taken from one end to the next."""
+        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n, reach = len(points), self.longest
+        back, piece = np.zeros(n + 1, np.int16), np.zeros(n + 1, np.int32)
+        recent = [0.0]  # best sums of the places before the window, as far back as a piece reaches
+        for lo in range(0, n, WINDOW):
+            hi, first = min(n, lo + WINDOW), lo + 1 - len(recent)
+            end, size, at = self._found(points[first:hi])
+            inside = end + first > lo
+            end, size, at = end[inside] + first, size[inside], at[inside]
+            value = np.where(at < 0, self.least, self.scores[at]).astype(float).tolist()
+            best = recent + [float("-inf")] * (hi - lo)
+            steps, chosen = [0] * (hi - lo), [0] * (hi - lo)
+            for k, (e, s, v) in enumerate(zip((end - first).tolist(), size.tolist(), value)):
+                v += best[e - s]
+                if v > best[e]:
+                    best[e] = v
+                    steps[e + first - lo - 1], chosen[e + first - lo - 1] = s, k
+            back[lo + 1 : hi + 1] = steps
+            piece[lo + 1 : hi + 1] = np.where(at < 0, -1, self.ids[at])[chosen]
+            recent = best[-reach:]
+        out, e = [], n
+        while e:
+            i = int(piece[e])
+            out += [i] if i >= 0 else self._bytes(word[e - 1])[::-1]
+            e -= int(back[e])
+        return out[::-1]
+
     def _bytes(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if len(self.bytes) == 256 else [self.unknown]
 

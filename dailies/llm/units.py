@@ -47,32 +47,48 @@ class UnitTable:
         self.used += len(ids)
         self.rows.update(zip(units, range(first, first + n)))
 
+    def _forget(self, n: int, used: int) -> None:
+        """Drop what was put in after the first ``n`` units; an array that one long unit made large is cut back."""
+        self.met[n : len(self.rows)] = 0
+        while len(self.rows) > n:
+            self.rows.popitem()
+        self.used = used
+        if len(self.flat) > 4 * max(used, 1 << 18):
+            self.flat = self.flat[: max(used, 1 << 18)].copy()
+
+    #: Longer units are encoded each time and not kept, so that the table is bounded in characters too.
+    LONGEST = 64
+
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (given as their units) one after the other, and how many each has."""
         units = [u for t in texts for u in t]
         at = np.fromiter(map(self.rows.get, units, repeat(-1)), np.int64, len(units))
-        fresh = np.flatnonzero(at < 0)
+        fresh, long = np.flatnonzero(at < 0), []
         if len(fresh):
             new = list(dict.fromkeys([units[i] for i in fresh]))
             if len(self.rows) + len(new) > self.limit:
                 self._shrink()
                 new = list(set(units).difference(self.rows))
                 fresh = np.arange(len(units))
-            self._put(new, *self.encode(new))
+            long = [u for u in new if len(u) > self.LONGEST]
+            if len(long) < len(new):
+                new = [u for u in new if len(u) <= self.LONGEST] if long else new
+                self._put(new, *self.encode(new))
+            before = len(self.rows), self.used
+            if long:  # behind the others, for this call only
+                self._put(long, *self.encode(long))
             at[fresh] = np.fromiter(map(self.rows.__getitem__, [units[i] for i in fresh]), np.int64, len(fresh))
         self.met[: len(self.rows)] += np.bincount(at, minlength=len(self.rows))
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.arange(total) - np.repeat(ends - lengths - self.starts[at], lengths)]
+        if long:
+            self._forget(*before)
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
         bounds = np.concatenate([[0], ends])[np.cumsum(counts)]
         return ids, np.diff(np.concatenate([[0], bounds]))
 
-
-    #: Longer units are encoded each time and not kept, so that the table is bounded in characters too.
-    LONGEST = 64
-
     def ids_of(self, distinct: list[str], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units given as places in a list of distinct ones, one after the other, and how many each unit has."""
         rows = np.fromiter(map(self.rows.get, distinct, repeat(-1)), np.int64, len(distinct))

@@ -2,8 +2,10 @@
 
 import math
 import random
+import time
 from collections import Counter
 
+import numpy as np
 import plain
 import pyarrow as pa
 import pytest
@@ -355,3 +357,65 @@ def test_pipeline_on_odd_rows(spark, odd, odd_dir, none_dir):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{odd_dir}/benchmark.parquet").collect()]
     kept = [x for x, c in zip(kept, plain.contamination(kept, items)) if not c[5]]
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, odd_dir).collect()) == Counter(d for d, _ in kept)
+
+
+def best_cut(model, word):
+    """Plain search of the cut with the greatest sum of scores, the longest last piece among equals."""
+    score = {model.text[i]: (float(s), int(i)) for i, s in zip(model.ids, model.scores)}
+    best = [(0.0, [])]
+    for e in range(1, len(word) + 1):
+        top = None
+        for s in range(min(e, model.longest), 0, -1):
+            got = score.get(word[e - s : e])
+            if got is None and s == 1:
+                got = (float(model.least), None)
+            if got is not None and (top is None or best[e - s][0] + got[0] > top[0]):
+                top = (best[e - s][0] + got[0], s, got[1])
+        best.append((top[0], best[e - top[1]][1] + ([top[2]] if top[2] is not None else model._bytes(word[e - 1]))))
+    return best[-1][1]
+
+
+def test_long_words_without_a_blank(monkeypatch):
+    model, table = pieces.load(pieces.MODEL)
+    rnd = random.Random(3)
+    made = ["".join(rnd.choices(signs, k=n)) for signs in ("etaoinshr", "ab\u4e16\u754c\u7684\U0001f642", "=A9z/+") for n in (1, 63, 64, 65, 66, 300, 700)] + ["a" * 500, "\U0010fffd" * 130]
+    want = [best_cut(model, w) for w in made]
+    assert [model._alone(w) for w in made] == want
+    monkeypatch.setattr(pieces, "WINDOW", 37)
+    assert [model._alone(w) for w in made] == want
+    ids, counts = model.viterbi(made)
+    assert [ids[a : a + n].tolist() for a, n in zip(counts.cumsum() - counts, counts)] == want
+    held = len(table.rows)
+    ids, counts = table.ids([["ab", w, "ab"] for w in made])
+    assert counts.tolist() == [len(w) + 2 * len(best_cut(model, "ab")) for w in want]
+    assert len(table.rows) <= held + 10 and not any(len(u) > table.LONGEST for u in table.rows)
+    assert ids.tolist() == [i for w in want for i in best_cut(model, "ab") + w + best_cut(model, "ab")]
+
+
+def test_a_megabyte_without_a_blank_takes_seconds():
+    model, _ = pieces.load(pieces.MODEL)
+    rnd = random.Random(5)
+    text = "".join(rnd.choices("etaoinshrdluABC/+=0123\u4e16\u754c", k=1 << 20))
+    began = time.monotonic()
+    ids = model._alone(text)
+    assert time.monotonic() - began < 30 and model.decode(np.array(ids)) == text
+
+
+def test_history_reaches_over_short_spans(spark):
+    """A short span before a long turn: earlier turns are repeated too, as far as the history goes."""
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i} " + "w " * (n - 5)) for i, n in enumerate((304, 64, 64, 424))]
+    rows += [(2, i, "system" if i == 0 else "user", "w " * n) for i, n in enumerate((5, 700, 30, 30, 900, 251, 253, 380, 390, 12))]
+    got = chat.chat_windows(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    for conv in (1, 2):
+        turns = [(len(t.split()) + chat.MARKS, t) for c, _, _, t in rows if c == conv]
+        starts = [sum(n for n, _ in turns[:i]) for i in range(len(turns))]
+        system, at = conv == 2, 0
+        for w in sorted((r for r in got if r.conv_id == conv), key=lambda r: r.window):
+            own = w.n_turns - w.n_repeated
+            before = [i for i in range(system, at) if starts[at] - starts[i] <= 256]
+            assert w.n_repeated == len(before) + (1 if system and at else 0)
+            said = [s.split(chat.SAID)[1] for s in w.formatted.split(chat.CLOSE)[:-1]]
+            assert said == ([turns[0][1]] if system and at else []) + [turns[i][1] for i in [*before, *range(at, at + own)]]
+            at += own
+        assert at == len(turns)
+    assert max(w.n_repeated for w in got if w.conv_id == 1 and "t3" in w.formatted) == 2
