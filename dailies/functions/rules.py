@@ -19,11 +19,11 @@ PLAN_ENDING_GUARD = (
 )
 AROLL_ROLE = "(?i)a-?roll|narration|talking|piece-to-camera|ptc"
 TITLE_FORMULAS = {
-    "number": "\\d",
-    "curiosity": "(?iu)\\bdlaczego\\b|\\bjak\\s|\\bco\\s+si[eę]\\b|\\bnikt\\b|\\bsekret\\w*|\\bnie\\s+uwierzysz\\b|\\bnaprawd[eę]\\b|\\bczego\\b"
+    "number": "(?U)\\d",
+    "curiosity": "(?iU)\\bdlaczego\\b|\\bjak\\s|\\bco\\s+si[eę]\\b|\\bnikt\\b|\\bsekret\\w*|\\bnie\\s+uwierzysz\\b|\\bnaprawd[eę]\\b|\\bczego\\b"
     "|\\bokazuje\\s+si[eę]\\b|\\bnie\\s+spodziewa\\w*|\\bwhy\\b|\\bhow\\b|\\bwhat\\s+happen\\w*|\\bnobody\\b|\\bsecret\\b|\\?",
-    "superlative": "(?iu)\\bnaj\\w+|\\bjedyn\\w+|\\bszalon\\w+|\\bekstremaln\\w+|\\bnigdy\\b|\\bbest\\b|\\bworst\\b|\\bmost\\b|\\bcheapest\\b|\\bonly\\b|\\bever\\b",
-    "transformation": "(?iu)\\bod\\s+\\w+\\s+do\\s+\\w+|\\bz\\s+\\w+\\s+do\\s+\\w+|\\bzmieni\\w*|\\bprzemian\\w*|\\bw\\s+\\d+\\s*(?:godzin\\w*|dni|dzie[nń]|minut\\w*)"
+    "superlative": "(?iU)\\bnaj\\w+|\\bjedyn\\w+|\\bszalon\\w+|\\bekstremaln\\w+|\\bnigdy\\b|\\bbest\\b|\\bworst\\b|\\bmost\\b|\\bcheapest\\b|\\bonly\\b|\\bever\\b",
+    "transformation": "(?iU)\\bod\\s+\\w+\\s+do\\s+\\w+|\\bz\\s+\\w+\\s+do\\s+\\w+|\\bzmieni\\w*|\\bprzemian\\w*|\\bw\\s+\\d+\\s*(?:godzin\\w*|dni|dzie[nń]|minut\\w*)"
     "|\\bfrom\\s+\\w+\\s+to\\s+\\w+|\\bturned\\s+into\\b|\\btransform\\w*",
 }
 STOPWORDS = (
@@ -52,11 +52,13 @@ def repeated_keywords(title: Column) -> Column:
 
 
 def title_issues(title: Column) -> Column:
-    n = F.length(title)
+    """Issues of a title without the blanks around it: length, none of the formulas, repeated keywords; one without text is only empty."""
+    t = F.regexp_replace(F.coalesce(title, F.lit("")), "(?U)^\\s+|\\s+$", "")
+    n = F.length(t)
     size = F.when(n < TITLE_MIN, "short").when(n > TITLE_HARD_MAX, "over_hard_max").when(n > TITLE_MAX, "long")
-    plain = F.when(F.size(title_tags(title)) == 0, "no_formula")
-    again = F.when(F.size(repeated_keywords(title)) > 0, "repeated_keyword")
-    return F.filter(F.array(size, plain, again), lambda x: x.isNotNull())
+    plain = F.when(F.size(title_tags(t)) == 0, "no_formula")
+    again = F.when(F.size(repeated_keywords(t)) > 0, "repeated_keyword")
+    return F.when(t == "", F.array(F.lit("empty"))).otherwise(F.filter(F.array(size, plain, again), lambda x: x.isNotNull()))
 
 
 def thumbnail_issues(text: Column) -> Column:

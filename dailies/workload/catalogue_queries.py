@@ -103,13 +103,25 @@ STOP = ", ".join(f"'{w}'" for w in rules.STOPWORDS)
 
 
 @query("title_keywords", f"""WITH {TITLES}, k AS (SELECT doc_id, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}\\p{{M}}_]{{4,}}')) AS w FROM t), r AS (SELECT doc_id, w FROM k WHERE w NOT IN ({STOP}) GROUP BY ALL HAVING count(*) > 1)
-SELECT t.doc_id, length(title) AS n_chars, regexp_matches(title, '[0-9]') AS has_number, coalesce((SELECT string_agg(w, ',' ORDER BY w) FROM r WHERE r.doc_id = t.doc_id), '') AS repeated FROM t""")
+SELECT t.doc_id, length(title) AS n_chars, regexp_matches(title, '\\p{{Nd}}') AS has_number, coalesce((SELECT string_agg(w, ',' ORDER BY w) FROM r WHERE r.doc_id = t.doc_id), '') AS repeated FROM t""")
 def title_keywords(spark, d):
     t = title_of(spark, d)
     return t.select("doc_id", F.length("title").cast("bigint").alias("n_chars"), F.array_contains(rules.title_tags(F.col("title")), "number").alias("has_number"), F.array_join(rules.repeated_keywords(F.col("title")), ",").alias("repeated"))
 
 
-@query("title_issues")
+# word signs and the ends of words for SQL, whose own \\b and \\w know ASCII only
+W = "\\p{L}\\p{N}\\p{M}_"
+WB, WE = f"(?:^|[^{W}])", f"(?:$|[^{W}])"
+CURIOUS = f"(?i){WB}(?:dlaczego{WE}|jak\\s|co\\s+si[eę]{WE}|nikt{WE}|sekret|nie\\s+uwierzysz{WE}|naprawd[eę]{WE}|czego{WE}|okazuje\\s+si[eę]{WE}|nie\\s+spodziewa|why{WE}|how{WE}|what\\s+happen|nobody{WE}|secret{WE})|\\?"
+SUPERLATIVE = f"(?i){WB}(?:naj[{W}]|jedyn[{W}]|szalon[{W}]|ekstremaln[{W}]|(?:nigdy|best|worst|most|cheapest|only|ever){WE})"
+CHANGE = f"(?i){WB}(?:(?:od|z)\\s+[{W}]+\\s+do\\s+[{W}]|zmieni|przemian|w\\s+\\p{{Nd}}+\\s*(?:godzin|dni|dzie[nń]|minut)|from\\s+[{W}]+\\s+to\\s+[{W}]|turned\\s+into{WE}|transform)"
+
+
+@query("title_issues", f"""WITH {TITLES}, x AS (SELECT doc_id, trim(coalesce(title, '')) AS t FROM t), k AS (SELECT doc_id, unnest(regexp_extract_all(lower(t), '[{W}]{{4,}}')) AS w FROM x),
+r AS (SELECT doc_id FROM (SELECT doc_id, w FROM k WHERE w NOT IN ({STOP}) GROUP BY ALL HAVING count(*) > 1) GROUP BY doc_id)
+SELECT x.doc_id, unnest(CASE WHEN t = '' THEN ['empty'] ELSE list_filter([CASE WHEN length(t) < 55 THEN 'short' WHEN length(t) > 100 THEN 'over_hard_max' WHEN length(t) > 70 THEN 'long' END,
+ CASE WHEN NOT (regexp_matches(t, '\\p{{Nd}}') OR regexp_matches(t, '{CURIOUS}') OR regexp_matches(t, '{SUPERLATIVE}') OR regexp_matches(t, '{CHANGE}')) THEN 'no_formula' END,
+ CASE WHEN r.doc_id IS NOT NULL THEN 'repeated_keyword' END], lambda y: y IS NOT NULL) END) AS issue FROM x LEFT JOIN r ON r.doc_id = x.doc_id""")
 def title_issues(spark, d):
     t = title_of(spark, d)
     return t.select("doc_id", F.explode(rules.title_issues(F.col("title"))).alias("issue"))
